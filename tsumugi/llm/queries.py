@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tsumugi.llm import history, lookalikes, pairs, repetition, residue
+from tsumugi.llm import difficulty, history, leaks, lookalikes, mixing, packing, pairs, repetition, residue
 from tsumugi.sources.tables import table
 
 ITEM_TABLES = ("compassion_synth_v06", "family_v03_additions", "keigo_synth_v06", "silence")
@@ -68,5 +68,59 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return history.repeats(table(spark, sf, "local_culture_synth_v06"), ["context", "user"], "batch_no", "line_no")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_counts, p3_found, p3_share, p4_found, p5_found, p5_forms, p7_found)}
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with their size: a token a byte of the text and one at its end."""
+    return table(spark, sf, "documents").select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("tokens"))
+
+
+def _test_items(spark: SparkSession, sf: str) -> DataFrame:
+    family, legal = table(spark, sf, "family_v03_additions"), table(spark, sf, "yamato_legal_v02_additions")
+    answers = family.select(F.col("id").alias("item_id"), F.col("ideal_response_example").alias("text")).unionByName(legal.select(F.col("id").alias("item_id"), F.col("ideal_response_example").alias("text")))
+    return answers.unionByName(family.select(F.col("id").alias("item_id"), F.col("user").alias("text")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents into which test items leaked, with the items."""
+    return leaks.find_leaks(table(spark, sf, "documents"), _test_items(spark, sf))
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks and paraphrases with their cosine and common subsequence."""
+    return leaks.find_leaks(table(spark, sf, "documents"), _test_items(spark, sf), paraphrases=True)
+
+
+def p8_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document in containers of each capacity."""
+    return packing.pack_all(_sized(spark, sf), table(spark, sf, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers and used share of each capacity."""
+    packed = p8_pack(spark, sf).groupBy("spec_id", "container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    by_spec = packed.groupBy("spec_id").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("n").alias("pieces"))
+    return by_spec.join(F.broadcast(table(spark, sf, "pack_specs")), "spec_id").withColumn("used_share", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity_tokens")), 6))
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each mix in the order of their virtual finish."""
+    return mixing.mix(_sized(spark, sf), table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Target and actual share of each source."""
+    targets = table(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(_sized(spark, sf), targets), targets)
+
+
+def p10_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimated reading level of each Japanese document."""
+    return difficulty.reading_levels(table(spark, sf, "documents"), table(spark, sf, "reading_labels"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose main text is at level 4 or 5."""
+    return p10_levels(spark, sf).where("p4 + p5 >= 0.5").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_counts, p3_found, p3_share, p4_found, p5_found, p5_forms, p7_found, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_levels)}
 SQL: dict[str, str] = {}
