@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3
-#: Documents of more than one LATE-th of what a source is to give stand last in its order.
+#: Documents of more than one LATE-th of what a source is to give stand last in its order, by size.
 LATE = 20
 
 
@@ -40,9 +40,11 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed:
         cut = cut.withColumn("budget", F.least("budget", F.lit(float(budget))))
     quotas = F.broadcast(given.join(cut, "mix_id").withColumn("quota", F.col("budget") * F.col("target_share")))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key").cast("string")))
-    each = rows.join(quotas, "source").withColumn("place", F.concat(F.when(F.col("tokens") * LATE > F.col("quota"), "1").otherwise("0"), order)).withColumn("part", F.substring("place", 1, 1 + DIGITS))
+    each = rows.join(quotas, "source").withColumn("class", F.least(F.lit(999), F.floor(F.col("tokens") * LATE / F.col("quota")).cast("int")))
+    # small documents in hashed order, then larger ones by their class of size, hashed within it
+    each = each.withColumn("place", F.concat(F.format_string("%03d", "class"), order)).withColumn("part", F.substring("place", 1, 3 + DIGITS))
     parts = each.groupBy("mix_id", "source", "part").agg(F.sum("tokens").alias("part_tokens"))
-    by_source = Window.partitionBy("mix_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * 16 ** DIGITS rows
+    by_source = Window.partitionBy("mix_id", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most 1000 * 16 ** DIGITS rows
     offsets = parts.select("mix_id", "source", "part", F.coalesce(F.sum("part_tokens").over(by_source), F.lit(0)).alias("before"))
     running = each.withColumn("run", F.sum("tokens").over(Window.partitionBy("mix_id", "source", "part").orderBy("place", "key").rowsBetween(Window.unboundedPreceding, 0)))
     queued = running.join(offsets, ["mix_id", "source", "part"]).withColumn("upto", F.col("before") + F.col("run"))

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 BINS = 1024
 WINDOW = 3
-MOST_PATTERNS = 20_000
-STEPS = 250
+MOST_PATTERNS = 40_000
+STEPS = 400
 #: A bin may hold a third of all rows: its ranks are counted in so many parts.
 PARTS = 256
 
