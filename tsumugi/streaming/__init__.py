@@ -1,0 +1 @@
+"""Scores of response streams."""
