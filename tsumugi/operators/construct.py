@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tsumugi.functions.text import col, prompt_lines, strip
+from tsumugi.session import cut
 
 
 def _picked(df: DataFrame, key: list[str], order: list[str], how) -> DataFrame:
@@ -61,7 +62,7 @@ def ranked(df: DataFrame, by: str, order: list[str], name: str = "rank", parts:
     partition, and offset by the counts before, so no group is put in one task.
     """
     spread = df.repartitionByRange(parts, F.col(by), *map(F.col, order)).sortWithinPartitions(by, *order)
-    placed = spread.withColumn("_p", F.spark_partition_id())
+    placed = cut(spread.withColumn("_p", F.spark_partition_id()))  # sampled bounds differ from run to run: sorted once
     counts = placed.groupBy(by, "_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = placed.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order)))
@@ -70,8 +71,8 @@ def ranked(df: DataFrame, by: str, order: list[str], name: str = "rank", parts:
 
 def renumbered(df: DataFrame, axis: str, order: list[str], pattern: str = "v06-%s-%04d", start: int = 0) -> DataFrame:
     """New stable ids by place in the axis; the old id stays as ``orig_id``."""
-    w = Window.partitionBy(axis).orderBy(*order)
-    return df.withColumn("orig_id", F.col("id")).withColumn("id", F.format_string(pattern, F.col(axis), F.row_number().over(w) - 1 + start))
+    placed = ranked(df.withColumn("orig_id", F.col("id")), axis, order, "_rank")
+    return placed.withColumn("id", F.format_string(pattern, F.col(axis), F.col("_rank") + start)).drop("_rank")
 
 
 def filled(df: DataFrame, dim: DataFrame, key: str, column: str) -> DataFrame:

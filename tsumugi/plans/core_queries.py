@@ -446,8 +446,7 @@ def stable_reid(spark, sf):
     """New ids by place in the axis."""
     t = _union(spark, sf).withColumn("key", cs.dedup_key("context", "user"))
     kept = cs.first_wins(t.select("axis", "key", "part_ord", "id"), ["axis", "key"], ["part_ord", "id"])
-    placed = cs.ranked(kept, "axis", ["part_ord", "id"])
-    return placed.select("axis", F.format_string("v06-%s-%04d", "axis", "rank").alias("id"), F.col("id").alias("orig_id"))
+    return cs.renumbered(kept, "axis", ["part_ord", "id"]).select("axis", "id", "orig_id")
 
 
 @query(f"select count(*) as rows, count(distinct {KEY}) as keys, count(*) - count(distinct {KEY}) as later from {UNION}")
