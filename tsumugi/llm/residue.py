@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsumugi.session import cut
+
 # What a slot of a template stands for.
 SLOTS = "名前 お名前 氏名 姓 名 宛名 宛先 地名 住所 場所 日付 日時 時刻 年月日 場面 状況 感情 気持ち 続柄 関係 肩書き 役職 敬称 相手の名前 相手 会社名 社名 部署名 電話番号 件名 題名 タイトル 本文 内容 商品名 金額 担当者名 行事名 祭りの名前 回答 返答 質問 理由".split()
 # Phrases of filler text.
@@ -146,7 +148,7 @@ def find_residue(records: DataFrame, prompts: DataFrame, least_items: int = 3, l
     from how many variants a notice must stand to count as residue.
     """
     src = records.select(*(F.col(c).cast("string") for c in ("src", "record_key", "item", "variant", "text"))).where("record_key is not null and text is not null")
-    found = src.mapInPandas(_scan, "src string, record_key string, item string, variant string, strong boolean, weak array<string>")
+    found = cut(src.mapInPandas(_scan, "src string, record_key string, item string, variant string, strong boolean, weak array<string>"))  # few rows, used three times
     sure = found.where("strong").select("src", "record_key")
     weak = found.where("not strong and item is not null").select("src", "record_key", "item", "variant", F.explode("weak").alias("notice"))
     # one row a notice and item before the join with prompts, however many records repeat it
