@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tsumugi.functions import letters as lt
 from tsumugi.functions import text as tx
-from tsumugi.operators import construct, contamination, generate, judge, scoring, summary
+from tsumugi.operators import construct, contamination, generate, judge, scoring, summary, validate
 from tsumugi.operators import predicates as pr
 from tsumugi.operators.joins import spread_join
 from tsumugi.sources import jsonl
@@ -204,3 +204,27 @@ def test_stream_like_table(spark, sf, tmp_path):
     last = spark.table("rates").groupBy("window_start", "variant").agg(F.max("n").alias("n"))
     want = {(r.window_start, r.variant): r.n for r in degenerate_rates(t).collect()}
     assert {(r.window_start, r.variant): r.n for r in last.collect()} == want
+
+
+def test_judge_parts_and_prompts(spark):
+    df = spark.createDataFrame([('x {"empathy": 1, "appropriateness": 2, "naturalness": 0, "warmth": 3} y',), ("none",), (None,), ('{"empathy": 1}',)], "t string")
+    assert [r.v for r in df.select(judge.parse_parts("t").alias("v")).collect()] == [6, None, None, None]
+    p = spark.createDataFrame([("s", "a", None, ["h", "i"])], "id string, axis string, rule string, hints array<string>")
+    text = p.select(generate.generation_prompt(F.struct("id"), F.col("axis"), F.col("rule"), F.col("hints"), 3).alias("p")).first().p
+    assert text.splitlines() == ['例: {"id":"s"}', "軸: a", "規則: ", "場面: h / i", "件数: 3"]
+
+
+def test_file_errors_and_order(spark):
+    ok = json.dumps({k: ["x"] if k in ("expected_qualities", "anti_patterns") else "family" for k in validate.STANDARD})
+    bad = json.dumps({**json.loads(ok), "axis": "other", "anti_patterns": "x"})
+    df = spark.createDataFrame([("f", 1, ok), ("f", 2, bad), ("f", 3, "{"), ("f", 4, " "), ("f", 5, None), ("f", 6, '{"id": "a"}')], "file string, line_no int, line string")
+    got = [(r.line_no, r.error) for r in validate.first_errors(validate.file_errors(df), ["line_no", "error"], 9).collect()]
+    assert got == [(2, "anti_patterns not a list"), (2, "unknown axis other"), (3, "bad JSON"), (6, "missing " + ",".join(sorted(set(validate.STANDARD) - {"id"})))]
+    axes = spark.createDataFrame([("keigo",), ("zzz",), (None,)], "a string").select(validate.axis_order("a").alias("o")).collect()
+    assert [r.o for r in axes] == [2, 9, 9]
+
+
+def test_merged_samples(spark):
+    r = spark.createDataFrame([("b", 2, "x"), ("a", 1, "y"), ("c", 3, "z")], "id string, ord int, note string")
+    i = spark.createDataFrame([("a", "item a"), ("b", "item b")], "id string, note string")
+    assert [(x.id, x.note) for x in scoring.merged(r, i, "id", ["ord"], 2).orderBy("ord").collect()] == [("a", "item a"), ("b", "item b")]

@@ -35,6 +35,18 @@ def parse_score(c: Column | str) -> Column:
     return F.coalesce(cut, big, digits(free).cast("int"))
 
 
+PARTS = ("empathy", "appropriateness", "naturalness", "warmth")
+
+
+def parse_parts(c: Column | str) -> Column:
+    """The sum of the four parts in the JSON between the first { and the last } of a judge's
+    text; null where it is no JSON or a part is missing, for a fallback to take over."""
+    t = col(c)
+    body = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    v = F.from_json(F.nullif(body, F.lit("")), "struct<empathy: int, appropriateness: int, naturalness: int, warmth: int>")
+    return sum((v[p] for p in PARTS[1:]), v[PARTS[0]])
+
+
 def rule_judge(prompt: str) -> str:
     """A judge without a model, for tests: more for a response of middling length."""
     response = prompt.rpartition("応答: ")[2]

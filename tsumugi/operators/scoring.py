@@ -135,3 +135,18 @@ def unknown_ids(responses: DataFrame, items: DataFrame, key: str = "id") -> Data
     return responses.join(items.select(key).distinct(), key, "left_anti").groupBy(key).agg(F.count("*").alias("n"))
 
 
+def by_task(df: DataFrame) -> DataFrame:
+    """``df`` (task, response, anti_patterns, examples) with ``passed`` and ``total`` of the
+    rule its task stands for: silence by ``silence_v2``, family by ``family_v2``, any other with
+    a name of keigo by length and degeneration alone; other tasks have no row. One pass."""
+    kind = F.when(F.startswith("task", F.lit("silence")), "silence").when(F.startswith("task", F.lit("family")), "family").when(F.startswith("task", F.lit("keigo")), "keigo")
+    deg = degenerate_reason("response") != ""
+    passed = F.when(kind == "silence", silence_v2(F.col("response"), F.col("examples"))["passed"]).when(kind == "keigo", ~deg)
+    total = F.when(kind == "family", family_v2(F.col("response"), F.col("anti_patterns"))["total"])
+    return df.where(kind.isNotNull() & (F.col("response") != "")).withColumns({"passed": passed, "total": total, "is_degenerate": deg})
+
+
+def merged(responses: DataFrame, items: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:
+    """The first ``n`` responses in order with their items' columns; the item's win a clash."""
+    few = responses.orderBy(*order).limit(n)
+    return few.drop(*[c for c in items.columns if c != key and c in few.columns]).join(items, key)

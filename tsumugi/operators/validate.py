@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tsumugi.functions.text import col
 from tsumugi.operators.predicates import FIREWALL, bad_list, bad_response, firewall_hit, has_backtick, missing_keys
+from tsumugi.operators.schema_drift import parse
 
 # The axes in their order, and the keys of the kinds of items.
 AXES = ("family", "keigo", "silence", "compassion", "local_culture", "nuance", "generation_gap", "workplace")
@@ -98,3 +102,44 @@ def audit(df: DataFrame, by: str, duplicate: Column) -> DataFrame:
     length = F.length("ideal_response_example")
     marked = df.select(F.col(by), reason.alias("r"), firewall_hit(leaves(df)).alias("f"), duplicate.alias("d"), length.alias("n"))
     return marked.groupBy(by).agg(F.count("*").alias("items"), F.count_if(F.col("r") == "ok").alias("valid"), F.count_if("f").alias("firewall_hits"), F.count_if("d").alias("duplicates"), F.count_if(F.col("n") < 10).alias("ire_short"), F.count_if(F.col("n") > 280).alias("ire_long"))
+
+
+def total_check(df: DataFrame, master: DataFrame, by: str) -> DataFrame:
+    """One row: rows in the groups together, rows in the master, whether they agree."""
+    parts = df.where(F.col(by).isNotNull()).agg(F.count("*").alias("parts"))
+    return parts.crossJoin(master.agg(F.count("*").alias("master"))).withColumn("ok", F.col("parts") == F.col("master"))  # one row each
+
+
+def file_errors(lines: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
+    """(file, line_no, error) of lines (file, line_no, line): no JSON object, missing fields of
+    every kind of item, an unknown axis, or a list that is none. Blank lines are no error."""
+
+    def check(line: str) -> list[str]:
+        found = parse(line)
+        if found is None:
+            return ["bad JSON"]
+        have = {k for k, v in found.items() if v is not None}
+        out = []
+        if not any(have >= set(keys) for keys in (STANDARD, KEIGO_LEGACY, SILENCE_LEGACY)):
+            out.append("missing " + ",".join(sorted(set(STANDARD) - have)))
+        if found.get("axis") and found["axis"] not in axes:
+            out.append(f"unknown axis {found['axis']}")
+        return out + [f"{k} not a list" for k in ("expected_qualities", "anti_patterns") if k in have and not isinstance(found[k], list)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, n, e) for f, n, x in zip(pdf["file"], pdf["line_no"], pdf["line"]) if x and x.strip() for e in check(x)]
+            yield pd.DataFrame(rows, columns=["file", "line_no", "error"])
+
+    return lines.select(F.col("file").cast("string"), F.col("line_no").cast("bigint").alias("line_no"), "line").mapInPandas(run, "file string, line_no bigint, error string")
+
+
+def first_errors(errors: DataFrame, order: list[str], n: int = 20) -> DataFrame:
+    """The first errors, as a report shows them."""
+    return errors.orderBy(*order).limit(n)
+
+
+def axis_order(axis: Column | str, axes: tuple[str, ...] = AXES) -> Column:
+    """The place of an axis in the fixed order; unknown ones come last."""
+    at = F.array_position(F.array(*map(F.lit, axes)), F.coalesce(col(axis), F.lit("")))
+    return F.when(at > 0, at).otherwise(F.lit(len(axes) + 1))

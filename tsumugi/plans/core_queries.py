@@ -208,6 +208,21 @@ def unknown_ids(spark, sf):
     return scoring.unknown_ids(table(spark, sf, "response"), ids[0].union(ids[1]).union(ids[2]).union(ids[3]))
 
 
+FAM_TOTAL = "case when r = '' or deg then 0 else least(3, e + fits) + (case when bad then 0 else 2 end) + fits + (case when nat then 2 else 1 end) + least(3, w) end"
+
+
+@query(f"""with t as (select row_id, task, response, f.anti_patterns as ap, s.ex, {s_strip('response')} as r, {s_degenerate('response')} <> '' as deg from response left join family_v03_additions f using (id) left join (select id, ideal_response_examples as ex from silence) s using (id) where task in ('silence', 'family', 'keigo') and response <> ''),
+    u as (select *, (length(r) between 5 and 150)::int as fits, {s_count('r', scoring.EMPATHY)} as e, {s_count('r', scoring.WARMTH)} as w, {FAM_ANTI} as bad, regexp_matches(r, '[。！？.!?]$') or length(r) < 30 as nat,
+        {s_any('r', scoring.SILENCE_V2)} or length(r) <= 8 or coalesce(list_bool_or(list_transform(ex, lambda x: {s_strip('x')} = r)), false) as quiet from t)
+    select row_id, task, case when task = 'silence' then not deg and quiet when task = 'keigo' then not deg end as passed, case when task = 'family' then {FAM_TOTAL} end as total, deg as is_degenerate from u""")
+def scores_by_task(spark, sf):
+    """Every response by the rule of its task."""
+    r = table(spark, sf, "response").select("row_id", "task", "id", "response")
+    anti = table(spark, sf, "family_v03_additions").select("id", "anti_patterns")
+    ex = table(spark, sf, "silence").select("id", F.col("ideal_response_examples").alias("examples"))
+    return scoring.by_task(r.join(anti, "id", "left").join(ex, "id", "left")).select("row_id", "task", "passed", "total", "is_degenerate")
+
+
 # ---- coverage and comparison ---------------------------------------------------------------
 def _legal(spark, sf):
     t = table(spark, sf, "yamato_legal_v02_additions")
@@ -405,6 +420,20 @@ def firewall_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", pr.firewall_hit("text", ("ハナコ", "AI", "Wi-Fi")).alias("hit"))
 
 
+@query()
+def file_errors(spark, sf):
+    """Errors of the raw lines of item files."""
+    t = table(spark, sf, "raw_records").select(F.col("file_name").alias("file"), "line_no", F.col("raw_json").alias("line"))
+    return validate.file_errors(t)
+
+
+@query("select (select count(*) from response where task is not null) as parts, (select count(*) from response) as master, true as ok")
+def total_check(spark, sf):
+    """Rows of the tasks together against all rows."""
+    t = table(spark, sf, "response")
+    return validate.total_check(t, t, "task")
+
+
 # ---- construction --------------------------------------------------------------------------
 KEY = "coalesce(context, '') || '|' || coalesce(\"user\", '')"
 

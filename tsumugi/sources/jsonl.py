@@ -26,6 +26,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def first_existing(spark: SparkSession, *paths: str) -> str | None:
+    """The first path that is there, in order of preference."""
+    return next((p for p in paths if exists(spark, p)), None)
+
+
 def lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(file, line_no, line): the lines of the files that exist; line_no counts from 1.
 
