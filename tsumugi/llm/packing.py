@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.session import cut
+
 BINS = 1024
 WINDOW = 3
 MOST_PATTERNS = 40_000
@@ -170,5 +172,6 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "toke
 
 def pack_all(items: DataFrame, specs: DataFrame, key: str = "doc_id", size: str = "tokens") -> DataFrame:
     """:func:`pack` for every (spec_id, capacity_tokens); few rows, a plan each."""
+    items = cut(items.select(key, size))  # the documents are read once, for all capacities
     parts = [pack(items, r.capacity_tokens, key, size).select(F.lit(r.spec_id).alias("spec_id"), "container_id", key, "part", "tokens") for r in specs.distinct().orderBy("spec_id").collect()]
     return reduce(DataFrame.unionByName, parts)
