@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.session import cut as cut_table
+
 DIGITS = 3
 #: Documents of more than one LATE-th of what a source is to give stand last in its order, by size.
 LATE = 20
@@ -32,7 +34,7 @@ def mix(docs: DataFrame, targets: DataFrame, budget: float | None = None, seed:
     shares not above 0 and caps below 1 give nothing. Repeated rows count as documents.
     """
     want = targets.where("target_share > 0 and max_repeats >= 1").select("mix_id", "source", "target_share", "max_repeats").distinct()  # one row a source and mix
-    rows = docs.select(F.col(f"`{key}`").alias("key"), "source", F.col("tokens").cast("bigint").alias("tokens")).where("key is not null and tokens > 0")
+    rows = cut_table(docs.select(F.col(f"`{key}`").alias("key"), "source", F.col("tokens").cast("bigint").alias("tokens")).where("key is not null and tokens > 0"))  # texts are read once
     totals = rows.join(F.broadcast(want.select("source").distinct()), "source", "left_semi").groupBy("source").agg(F.sum("tokens").alias("total"))
     given = totals.join(F.broadcast(want), "source")
     cut = given.groupBy("mix_id").agg(F.min(F.col("total") * F.col("max_repeats") / F.col("target_share")).alias("budget"))
