@@ -185,7 +185,9 @@ def fit(texts: list[str], levels: list[int]) -> Model:
     calibration."""
     y = np.array(levels) - 1
     bodies = [main_text(t) for t in texts]
-    held = np.arange(len(y)) % 5 == 4
+    held = np.zeros(len(y), bool)
+    for k in range(LEVELS):  # a fifth of each level, whatever the order of the texts
+        held[np.flatnonzero(y == k)[2::5]] = True
 
     def train(which: np.ndarray) -> Model:
         cp, sentence, doc = _stack([bodies[i] for i in np.flatnonzero(which)])
@@ -215,14 +217,14 @@ def is_japanese(text: str) -> bool:
     return kana > 0 and kana >= KANA_SHARE * np.count_nonzero(kind >= 2)
 
 
-def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> Model:
-    """The model of a bounded sample of labelled Japanese documents: the ``SAMPLE_DOCS`` with
+def train_model(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> Model | None:
+    """The model (None without labelled Japanese documents) of a bounded sample of labelled Japanese documents: the ``SAMPLE_DOCS`` with
     the smallest hash of their key, the same at every run."""
     rows = labels.select(key, label).where(F.col(label).between(1, LEVELS)).groupBy(key).agg(F.round(F.avg(label)).cast("int").alias("level"))
     few = rows.orderBy(F.xxhash64(key), key).limit(SAMPLE_DOCS)
     sample = docs.select(key, F.col(text).alias("t")).where("t is not null").join(F.broadcast(few), key).orderBy(F.xxhash64(key), key).toPandas()
-    sample = sample[[is_japanese(main_text(t)) for t in sample["t"]]]
-    return fit(list(sample["t"]), list(sample["level"]))
+    sample = sample[np.array([is_japanese(main_text(t)) for t in sample["t"]], bool)]
+    return fit(list(sample["t"]), list(sample["level"])) if len(sample) else None
 
 
 def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "reading_level") -> DataFrame:
@@ -235,9 +237,10 @@ def reading_levels(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text
     src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("t")).where("t is not null and t <> ''")
     kind = src.schema["key"].dataType.simpleString()
     schema = f"key {kind}, level int, expected_level double, {', '.join(f'p{k + 1} double' for k in range(LEVELS))}, sentences bigint"
-    if not labels.take(1):
+    fitted = train_model(docs, labels, key, text, label)
+    if fitted is None:
         return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("key", key)
-    model = docs.sparkSession.sparkContext.broadcast(train_model(docs, labels, key, text, label))  # 10 MB, fixed
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # 10 MB, fixed
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

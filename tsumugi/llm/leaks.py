@@ -309,7 +309,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                         also = pd.DataFrame(rows, columns=["d", "item", "kind", "cosine", "lcs"])
                         found = pd.concat([found, also[also["lcs"] >= PARAPHRASE_LCS]])
                     found = found.sort_values(["kind", "cosine"], ascending=[False, False]).drop_duplicates(["d", "item"])
-                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": [s.ids[i] for i in found["item"]], "kind": found["kind"].astype(str), "cosine": found["cosine"].astype(float), "lcs": found["lcs"].astype(float)})
+                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": pd.Series([s.ids[i] for i in found["item"]], dtype=object), "kind": pd.Series(list(found["kind"]), dtype=object), "cosine": found["cosine"].to_numpy(float), "lcs": found["lcs"].to_numpy(float)})
 
         part = src.mapInPandas(run, f"key {kind}, item_id string, kind string, cosine double, lcs double")
         out = part if out is None else out.unionByName(part)

@@ -62,4 +62,4 @@ def shares(mixed: DataFrame, targets: DataFrame, key: str = "doc_id") -> DataFra
     used = mixed.groupBy("mix_id", "source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("uses"), F.max("pass").alias("repeats"))
     every = targets.join(used, ["mix_id", "source"], "left").na.fill({"tokens": 0, "uses": 0, "repeats": 0})
     total = F.sum("tokens").over(Window.partitionBy("mix_id"))  # one row a source of the targets
-    return every.select("mix_id", "source", "target_share", F.round(F.col("tokens") / total, 6).alias("actual_share"), "tokens", "uses", F.col("repeats").cast("int").alias("repeats"))
+    return every.select("mix_id", "source", "target_share", F.round(F.coalesce(F.try_divide(F.col("tokens"), total), F.lit(0.0)), 6).alias("actual_share"), "tokens", "uses", F.col("repeats").cast("int").alias("repeats"))

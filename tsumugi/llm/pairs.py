@@ -44,7 +44,7 @@ DECLINING = re.compile(r"(?:答え|応じ|応え|提供|対応|回答|返答|手
 TERMINAL, OPENING = "。.!?！？", re.compile(r"^[^。.!?、,\n]{0,12}[。.!?、,:\s]+")
 DECORATION = re.compile(r"(?:\((?:笑|泣|汗|涙)\)|[^\w「『(（\[【、,]|_)+$")
 JAPANESE, LETTER = re.compile(r"[ぁ-ゖァ-ヺ]"), re.compile(r"[^\W\d_]")
-SENTENCES = re.compile(r"(?<=[。!?\n])")
+SENTENCES, CLAUSE = re.compile(r"(?<=[。!?\n])"), re.compile(r"(?:が|けれど|けれども|けど)[、,]")
 OPENS = {"「": "」", "『": "』", "(": ")", "【": "】", "[": "]"}
 
 
@@ -75,7 +75,8 @@ def is_refusal(text: str) -> bool:
         s = letters(part)
         if not s:
             continue
-        if (DECLINING.search(part) and DECLINED.search(part)) or _aligned(s, REFUSALS):
+        last = CLAUSE.split(part)[-1]  # a sentence that declines and goes on gives something
+        if (DECLINING.search(last) and DECLINED.search(part)) or _aligned(s, REFUSALS):
             declines = True
         elif not _aligned(s, COURTESIES):
             return False
@@ -154,7 +155,7 @@ def endings(texts: list[str | None]) -> pd.DataFrame:
     bodies = [DECORATION.sub("", tidy(t)) for t in texts if t]
     cp = code_points("".join(f"{b}\n\n\n" for b in bodies)).astype(np.int64)
     if not len(cp):
-        return pd.DataFrame({"suffix": [], "n": [], "closing": []})
+        return pd.DataFrame({"suffix": pd.Series([], dtype=object), "n": np.empty(0, np.int64), "closing": np.empty(0, np.int64)})
     letter = keep_table()[cp]
     after = np.append(cp[1:], 10)
     last = np.zeros(len(cp), bool)
@@ -169,7 +170,7 @@ def endings(texts: list[str | None]) -> pd.DataFrame:
     kinds, back = np.unique(keys, return_inverse=True)
     n, closing = np.bincount(back), np.bincount(back, np.tile(closes[at], 3))
     names = ["".join(chr(x) for x in (k >> 42, (k >> 21) & 0x1FFFFF, k & 0x1FFFFF) if x) for k in kinds.tolist()]
-    return pd.DataFrame({"suffix": names, "n": n, "closing": closing.astype(np.int64)})
+    return pd.DataFrame({"suffix": pd.Series(names, dtype=object), "n": n, "closing": closing.astype(np.int64)})
 
 
 def judge(response: str | None, prompt: str | None, repeated: float) -> tuple[str | None, str | None]:
