@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -61,6 +62,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished jobs left: their broadcasts and shuffles stay on the driver and
+    the executors' disks until the driver's objects for them are collected. For long loops."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers, wherever they run. Does it once."""
     sc = spark.sparkContext
