@@ -31,6 +31,15 @@ def test_held_out_accuracy_and_quotes():
         assert (level == [y for _, _, y in rows]).mean() >= 0.95
 
 
+def test_main_text_after_quotes():
+    assert df_.main_text("A\n> quote\nB\nC") == "A\n\nB\nC"
+    assert df_.main_text("＞引用\n｜引用\n本文です。\n続き") == "\n\n本文です。\n続き"
+    assert df_.main_text("前\n【引用】一行\n二行【/引用】\n後") == "前\n\n後"
+    assert df_.main_text("前\n【引用】閉じない\n後の本文") == "前\n\n後の本文"
+    assert df_.main_text("前【引用】外【引用】内【/引用】\n外【/引用】後の本文") == "前後の本文"
+    assert df_.main_text("「外『内』「中」」と言った。") == "と言った。"
+
+
 def test_table(spark):
     rng = random.Random(2)
     rows = labelled(rng, 60)

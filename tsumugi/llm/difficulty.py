@@ -30,7 +30,10 @@ EPOCHS, RATE, PENALTY = 40, 0.5, 1e-5
 SCALE = 12.0
 #: Share of kana among letters from which a text is Japanese.
 KANA_SHARE = 0.1
-QUOTES = re.compile(r"「[^「」]*」|『[^『』]*』|“[^“”]*”|\"[^\"\n]*\"|^[>＞|｜].*$|【引用】.*?(?:【/引用】|$)", re.M | re.S)
+#: Quotes in brackets, also over lines; an opening 【引用】 that is never closed quotes its line.
+BRACKETS = r"「[^「」]*」|『[^『』]*』|“[^“”]*”|\"[^\"\n]*\"|【引用】(?:(?!【引用】).)*?【/引用】"
+QUOTES = re.compile(BRACKETS + r"|^[>＞|｜][^\n]*", re.M | re.S)
+NESTED, UNCLOSED = re.compile(BRACKETS, re.S), re.compile(r"【引用】[^\n]*")
 MARKUP = re.compile(r"<[^<>]{0,200}>|https?://\S+")
 SENTENCE_END = np.array([ord(x) for x in "。!?\n"], np.uint32)
 
@@ -43,11 +46,10 @@ def main_text(text: str | None) -> str:
     t = unicodedata.normalize("NFKC", text)
     if "<" in t or "://" in t:
         t = MARKUP.sub("", t)
-    body = t
-    while any(x in body for x in "「『“\"|>") or "【引用】" in body:  # quotes inside quotes, from the inside out
-        body, n = QUOTES.subn("", body)
-        if not n:
-            break
+    body = QUOTES.sub("", t) if any(x in t for x in "「『“\"|>") or "【引用】" in t else t
+    while body != t and (inner := NESTED.sub("", body)) != body:  # quotes inside quotes, from the inside out
+        body = inner
+    body = UNCLOSED.sub("", body)
     return body if len(body) >= 0.1 * len(t) else t
 
 
