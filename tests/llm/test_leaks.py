@@ -45,6 +45,19 @@ def test_finds_all_stretches(spark):
     assert set(rows) == want and len(want) > 20
 
 
+def test_stretches_beside_other_items(spark):
+    rng = random.Random(7)
+    items = [(f"i{k:03d}", make(rng, 90)) for k in range(300)]
+    docs = []
+    for k in range(400):
+        (_, x), (_, y) = rng.sample(items, 2)
+        a, b, n = rng.randint(0, 74), rng.randint(0, 58), rng.choice([0, 16, 32])
+        docs.append((k, y[b : b + n] + x[a : a + 16] + y[b + n : b + 32]))
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(docs, items)
+
+
 def test_width_case_and_several_fields(spark):
     docs = spark.createDataFrame([(1, "prefix ＡＢＣＤ-efgh ijkl, mnop tail", "x"), (2, "abcd efgh ijkl mno", "x")], "doc_id long, text string, item_id string")
     items = spark.createDataFrame([("a", "zz"), ("a", "abcdEFGHijklMNOP")], "item_id string, text string")

@@ -3,14 +3,15 @@
 Latent semantic retrieval. Documents and test items are cut into overlapping passages of
 letters; a passage is a TF-IDF vector of hashed letter 4-grams, with document counts from the
 whole corpus. A distributed randomised SVD of the test passages gives a latent space; corpus
-passages are folded into it and searched by cosine against every test passage. Candidates are
-then checked: for a shared unbroken stretch of letters (a leak), else for the longest common
-subsequence and the answer's own words (a paraphrase).
+passages are folded into it and searched by cosine against every test passage. A low-rank space
+loses short stretches between other test letters, whatever the cosine, so every place of the corpus
+is also looked up among the items' stretches: a shared unbroken stretch of letters is a leak at any
+cosine. Other candidates are checked for the longest common subsequence and the answer's own words (a paraphrase).
 
 What makes it scale: columns are the hash buckets of the test items' 4-grams (at most
 ``BUCKETS``), so what is sent to the executors has a proven bound and does not grow with the
 corpus; the corpus is read twice (counts, search) and never shuffled. A passage with fewer test
-4-grams than a stretch holds is orthogonal enough to hold none and is not searched. Test sets
+4-grams than a stretch holds cannot hold one and is not searched. Test sets
 larger than a block are searched block by block.
 """
 
@@ -204,15 +205,17 @@ def build_space(docs: DataFrame, text: str, items: pd.DataFrame, rank: int = RAN
     return Space(column, idf, basis, np.array(owner, np.int64), latent, h[order], w[order], ids, joined)
 
 
-def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float = MIN_COSINE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of stacked documents: passage start, its length, its document, item, cosine."""
-    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.float32),)
+def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float = MIN_COSINE) -> tuple[np.ndarray, ...]:
+    """Candidates of stacked documents: passage start, its length, its document, item, cosine, and
+    whether they share a stretch; those that do at any cosine, others from ``min_cosine``."""
+    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.float32), np.empty(0, bool))
     if not len(codes) or not len(space.item):
         return none
     edges = np.flatnonzero(np.diff(doc)) + 1
     begins, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(doc)]))
     count = np.maximum(1, -(-(ends - begins - DOC_WINDOW + DOC_STEP) // DOC_STEP))
-    starts = np.repeat(begins, count) + DOC_STEP * (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
+    before = np.cumsum(count) - count
+    starts = np.repeat(begins, count) + DOC_STEP * (np.arange(count.sum()) - np.repeat(before, count))
     stops = np.minimum(starts + DOC_WINDOW, np.repeat(ends, count))
     col = space.column[buckets(codes)]
     if not len(col):
@@ -222,7 +225,13 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
     worth = np.flatnonzero(hits[last] - hits[starts] >= STRETCH - GRAM + 1)
     if not len(worth):
         return none
+    place, leaked = _stretches(space, codes, doc, hits)
+    own = np.searchsorted(begins, place, "right") - 1
+    holder = np.searchsorted(worth, before[own] + np.minimum((place - begins[own]) // DOC_STEP, count[own] - 1))
     starts, last, stops = starts[worth], last[worth], stops[worth]
+    order = np.argsort(space.item, kind="stable")
+    latent = space.latent[order].T
+    known, bounds = np.unique(space.item[order], return_index=True)
     out = []
     for a in range(0, len(starts), 4096):
         s, e = starts[a : a + 4096], last[a : a + 4096]
@@ -233,41 +242,31 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
         key, n = np.unique(row[seen] * len(space.idf) + c[seen], return_counts=True)
         r, c = np.divmod(key, len(space.idf))
         z = _unit(_times(r, c, (1 + np.log(n)) * space.idf[c], space.basis, len(s)))
-        cos = z @ space.latent.T
-        p, q = np.nonzero(cos >= min_cosine)
-        # the best passage of each item
-        best = np.lexsort((-cos[p, q], space.item[q], p))
-        p, q = p[best], q[best]
-        first = np.ones(len(p), bool)
-        first[1:] = (p[1:] != p[:-1]) | (space.item[q][1:] != space.item[q][:-1])
-        p, q = p[first], q[first]
-        out.append((s[p], stops[a : a + 4096][p] - s[p], doc[s[p]], space.item[q], cos[p, q]))
+        cos = np.maximum.reduceat(z @ latent, bounds, axis=1)  # the best passage of each item
+        held = (holder >= a) & (holder < a + len(s))
+        leak = np.zeros(cos.shape, bool)
+        leak[holder[held] - a, np.searchsorted(known, leaked[held])] = True
+        p, q = np.nonzero((cos >= min_cosine) | leak)
+        out.append((s[p], stops[a : a + 4096][p] - s[p], doc[s[p]], known[q], cos[p, q], leak[p, q]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _verbatim(space: Space, codes: np.ndarray, start: np.ndarray, size: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Which candidates (passage, item) share a stretch: hash lookup, then letter by letter."""
-    ok = np.zeros(len(start), bool)
-    h = ngram_hashes(codes, STRETCH)
-    if not len(h) or not len(space.stretch):
-        return ok
-    # each passage once: which of its places hold a stretch of any item
-    places, back = np.unique(start, return_inverse=True)
-    sizes = np.zeros(len(places), np.int64)
-    np.maximum.at(sizes, back, size)
-    n = np.maximum(0, np.minimum(sizes - STRETCH + 1, len(h) - places))
-    at = np.repeat(places - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-    passage = np.repeat(np.arange(len(places)), n)
-    lo = np.searchsorted(space.stretch, h[at], "left")
-    hi = np.searchsorted(space.stretch, h[at], "right")
-    known = hi > lo
-    at, passage, lo, hi = at[known], passage[known], lo[known], hi[known]
-    m = hi - lo
-    each = np.repeat(lo - np.concatenate(([0], np.cumsum(m)[:-1])), m) + np.arange(m.sum()) if len(m) else np.empty(0, np.int64)
-    met, first = np.unique(np.repeat(passage, m) * len(space.ids) + space.stretch_item[each], return_index=True)
-    where = np.repeat(at, m)[first]
-    true = np.array([codes[w : w + STRETCH].tobytes().decode("utf-32-le") in space.texts[k % len(space.ids)] for k, w in zip(met.tolist(), where.tolist())], bool)
-    return np.isin(back * len(space.ids) + item, met[true] if len(met) else met)
+def _stretches(space: Space, codes: np.ndarray, doc: np.ndarray, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every place of a stretch of an item, with the item: hash lookup, then letter by letter.
+
+    ``hits``: running number of places with a test 4-gram; a stretch has one at each."""
+    grams = STRETCH - GRAM + 1
+    at = np.flatnonzero(hits[grams:] - hits[:-grams] == grams)
+    at = at[doc[at] == doc[at + STRETCH - 1]]
+    if not len(at) or not len(space.stretch):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = ngram_hashes(codes, STRETCH)[at]
+    lo = np.searchsorted(space.stretch, h, "left")
+    m = np.searchsorted(space.stretch, h, "right") - lo
+    each = np.repeat(lo - (np.cumsum(m) - m), m) + np.arange(m.sum())
+    place, item = np.repeat(at, m), space.stretch_item[each]
+    true = np.array([codes[w : w + STRETCH].tobytes().decode("utf-32-le") in space.texts[k] for w, k in zip(place.tolist(), item.tolist())], bool)
+    return place[true], item[true]
 
 
 def _blocks(items: DataFrame) -> Iterator[pd.DataFrame]:
@@ -300,8 +299,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             s = space.value
             for pdf in batches:
                 for codes, doc in _stacked(pdf["t"]):
-                    start, size, d, item, cos = search(s, codes, doc, min_cosine)
-                    leak = _verbatim(s, codes, start, size, item)
+                    start, size, d, item, cos, leak = search(s, codes, doc, min_cosine)
                     found = pd.DataFrame({"d": d, "item": item, "kind": "verbatim", "cosine": cos, "lcs": 1.0})[leak]
                     if paraphrases:
                         near = np.flatnonzero(~leak & (cos >= PARAPHRASE_COSINE))
