@@ -27,3 +27,13 @@ def test_notices_need_evidence(spark):
     near = spark.createDataFrame([(f"item{i}", "システムの話") for i in range(5)], "item string, prompt string")
     assert {r.record_key for r in residue.find_residue(df, near).collect()} == {"98", "97"}
     assert residue.find_residue(df.limit(0), prompts).count() == 0
+
+
+def test_common_words_do_not_clear_a_notice(spark):
+    notice, answer = "この画面は現在ご利用できません。", "通信はお店の人に相談してください。"
+    prompts = [(f"i{k}", "画面の話" if k % 8 == 0 else "通信の話" if k < 12 else "庭の話") for k in range(80)]
+    rows = [("response", f"n{k}", f"i{k}", f"v{k % 3}", notice) for k in range(60)]
+    rows += [("response", f"a{k}", f"i{k}", f"v{k % 3}", answer) for k in range(15)]
+    df = spark.createDataFrame(rows, "src string, record_key string, item string, variant string, text string")
+    got = {r.record_key for r in residue.find_residue(df, spark.createDataFrame(prompts, "item string, prompt string")).collect()}
+    assert got == {f"n{k}" for k in range(60)}

@@ -125,6 +125,16 @@ def notices(text: str | None) -> list[str]:
     return [re.sub(r"\d+", "0", s.strip()) for s in SENTENCES.split(plain(text)) if NOTICE.search(s)]
 
 
+@F.pandas_udf(T.StringType())
+def _plain(text: pd.Series) -> pd.Series:
+    return text.map(plain)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _words(notice: pd.Series) -> pd.Series:
+    return notice.map(WORDS.findall)
+
+
 @F.pandas_udf(T.BooleanType())
 def residue_flag(text: pd.Series) -> pd.Series:
     return text.map(has_residue)
@@ -145,7 +155,9 @@ def find_residue(records: DataFrame, prompts: DataFrame, least_items: int = 3, l
     ``records``: src, record_key, item, variant, text; ``prompts``: item, prompt. Null or empty
     texts hold none. Repeated rows give one row. A record without an item or variant is judged
     by the detectors alone. ``least_items`` and ``least_variants``: under how many items and
-    from how many variants a notice must stand to count as residue.
+    from how many variants a notice must stand, unrelated to the items' prompts, to count as
+    residue. One whose words stand in its items' prompts more often than in all prompts, beyond
+    chance, answers them and is no residue.
     """
     src = records.select(*(F.col(c).cast("string") for c in ("src", "record_key", "item", "variant", "text"))).where("record_key is not null and text is not null")
     found = cut(src.mapInPandas(_scan, "src string, record_key string, item string, variant string, strong boolean, weak array<string>"))  # few rows, used three times
@@ -153,14 +165,14 @@ def find_residue(records: DataFrame, prompts: DataFrame, least_items: int = 3, l
     weak = found.where("not strong and item is not null").select("src", "record_key", "item", "variant", F.explode("weak").alias("notice"))
     # one row a notice and item before the join with prompts, however many records repeat it
     uses = weak.groupBy("notice", "item").agg(F.collect_set("variant").alias("variants"))
-    known = prompts.select(F.col("item").cast("string").alias("item"), F.col("prompt").cast("string").alias("prompt"))
-
-    @F.pandas_udf(T.BooleanType())
-    def related(notice: pd.Series, prompt: pd.Series) -> pd.Series:
-        return pd.Series([bool(p) and any(w in plain(p) for w in WORDS.findall(n)) for n, p in zip(notice, prompt)])
-
-    judged = uses.join(known, "item", "left").select("notice", "item", "variants", related("notice", "prompt").alias("related"))
-    spread = judged.groupBy("notice").agg(F.countDistinct("item").alias("items"), F.size(F.array_distinct(F.flatten(F.collect_set("variants")))).alias("hosts"), F.max(F.col("related").cast("int")).alias("related"))
-    shared = spread.where((F.col("items") >= least_items) & (F.col("hosts") >= least_variants) & (F.col("related") == 0)).select("notice")
+    known = prompts.where("item is not null and prompt is not null").select(F.col("item").cast("string").alias("item"), _plain(F.col("prompt").cast("string")).alias("prompt")).distinct()
+    held = F.coalesce(F.exists("words", lambda w: F.col("prompt").contains(w)), F.lit(False))
+    judged = uses.withColumn("words", _words("notice")).join(known, "item", "left").groupBy("notice", "words", "item").agg(F.max(held).alias("related"), F.first("variants").alias("variants"))
+    spread = judged.groupBy("notice", "words").agg(F.count("*").alias("n"), F.count_if("related").alias("near"), F.size(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("related"), F.col("variants")))))).alias("hosts"))
+    likely = cut(spread.where((F.col("n") - F.col("near") >= least_items) & (F.col("hosts") >= least_variants)))
+    # a notice with a common word meets it in some prompts by chance: in how many, all prompts tell
+    by_item = likely.where("near > 0").crossJoin(known).groupBy("notice", "item").agg(F.max(held).alias("held"))
+    base = by_item.groupBy("notice").agg(F.avg(F.col("held").cast("double")).alias("base"))
+    shared = likely.join(base, "notice", "left").where("near = 0 or near <= base * n + 2 * sqrt(base * (1 - base) * n)").select("notice")
     more = weak.join(shared, "notice", "left_semi").select("src", "record_key")
     return sure.unionByName(more).distinct()
