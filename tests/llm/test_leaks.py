@@ -80,6 +80,14 @@ def test_paraphrase(spark):
     assert [(r.doc_id, r.kind) for r in got] == [(1, "paraphrase")] and 0.6 < got[0].lcs < 1
 
 
+def test_paraphrase_reports_the_answers_own_words(spark):
+    item = "母が入院した夜に隣の人が味噌汁を届けてくれたことを今も忘れない"
+    other = "母が入院した夜は、隣の人が味噌汁も届けてくれたことは今も忘れない"
+    docs = spark.createDataFrame([(1, other), (2, item)], "doc_id long, text string")
+    got = {r.doc_id: r.answer for r in leaks.find_leaks(docs, spark.createDataFrame([("p", item)], "item_id string, text string"), paraphrases=True).collect()}
+    assert got[2] == 1 and 0.2 < got[1] < 1
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 2)
     rng = random.Random(2)

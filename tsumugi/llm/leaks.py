@@ -6,7 +6,8 @@ whole corpus. A distributed randomised SVD of the test passages gives a latent s
 passages are folded into it and searched by cosine against every test passage. A low-rank space
 loses short stretches between other test letters, whatever the cosine, so every place of the corpus
 is also looked up among the items' stretches: a shared unbroken stretch of letters is a leak at any
-cosine. Other candidates are checked for the longest common subsequence and the answer's own words (a paraphrase).
+cosine. Other candidates are checked for the longest common subsequence (a paraphrase); how many of
+the item's own words, its rarest 4-grams in the corpus, the passage holds is reported beside it.
 
 What makes it scale: columns are the hash buckets of the test items' 4-grams (at most
 ``BUCKETS``), so what is sent to the executors has a proven bound and does not grow with the
@@ -283,8 +284,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     """(key, item_id) of the documents that hold a stretch of ``STRETCH`` letters of an item.
 
     ``items``: item_id, text (one row a field). With ``paraphrases``: (key, item_id, kind,
-    cosine, lcs), also of passages near an item in the latent space whose longest common
-    subsequence holds ``PARAPHRASE_LCS`` of the item passage's letters without a stretch.
+    cosine, lcs, answer), also of passages near an item in the latent space whose longest common
+    subsequence holds ``PARAPHRASE_LCS`` of the item passage's letters without a stretch; ``answer`` is
+    the share of the item's own words in the passage, 1 of a leak, and decides nothing.
     Null keys, null and empty texts give nothing; a text or item shorter than a stretch cannot
     leak. Whole texts are searched; rows repeated give one row.
     """
@@ -300,28 +302,31 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             for pdf in batches:
                 for codes, doc in _stacked(pdf["t"]):
                     start, size, d, item, cos, leak = search(s, codes, doc, min_cosine)
-                    found = pd.DataFrame({"d": d, "item": item, "kind": "verbatim", "cosine": cos, "lcs": 1.0})[leak]
+                    found = pd.DataFrame({"d": d, "item": item, "kind": "verbatim", "cosine": cos, "lcs": 1.0, "answer": 1.0})[leak]
                     if paraphrases:
                         near = np.flatnonzero(~leak & (cos >= PARAPHRASE_COSINE))
-                        rows = [(d[i], item[i], "paraphrase", cos[i], _lcs_share(codes[start[i] : start[i] + size[i]], s.texts[item[i]])) for i in near]
-                        also = pd.DataFrame(rows, columns=["d", "item", "kind", "cosine", "lcs"])
+                        rows = [(d[i], item[i], "paraphrase", cos[i], *_likeness(s, codes[start[i] : start[i] + size[i]], s.texts[item[i]])) for i in near]
+                        also = pd.DataFrame(rows, columns=["d", "item", "kind", "cosine", "lcs", "answer"])
                         found = pd.concat([found, also[also["lcs"] >= PARAPHRASE_LCS]])
                     found = found.sort_values(["kind", "cosine"], ascending=[False, False]).drop_duplicates(["d", "item"])
-                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": pd.Series([s.ids[i] for i in found["item"]], dtype=object), "kind": pd.Series(list(found["kind"]), dtype=object), "cosine": found["cosine"].to_numpy(float), "lcs": found["lcs"].to_numpy(float)})
+                    yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": pd.Series([s.ids[i] for i in found["item"]], dtype=object), "kind": pd.Series(list(found["kind"]), dtype=object), "cosine": found["cosine"].to_numpy(float), "lcs": found["lcs"].to_numpy(float), "answer": found["answer"].to_numpy(float)})
 
-        part = src.mapInPandas(run, f"key {kind}, item_id string, kind string, cosine double, lcs double")
+        part = src.mapInPandas(run, f"key {kind}, item_id string, kind string, cosine double, lcs double, answer double")
         out = part if out is None else out.unionByName(part)
-    pairs = out.groupBy("key", "item_id").agg(F.max("kind").alias("kind"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs")).withColumnRenamed("key", key)
+    pairs = out.groupBy("key", "item_id").agg(F.max("kind").alias("kind"), F.max("cosine").alias("cosine"), F.max("lcs").alias("lcs"), F.max("answer").alias("answer")).withColumnRenamed("key", key)
     return pairs if paraphrases else pairs.select(key, "item_id")
 
 
-def _lcs_share(passage: np.ndarray, item: str) -> float:
-    """Best share of an item window's letters that stand in order in the passage."""
-    p = passage.tobytes().decode("utf-32-le")
-    best = 0.0
+def _likeness(space: Space, passage: np.ndarray, item: str) -> tuple[float, float]:
+    """Best share of an item window's letters that stand in order in the passage, and the share of
+    that window's own words, the rarer half of its 4-grams by IDF, that stand in it."""
+    p, held = passage.tobytes().decode("utf-32-le"), buckets(passage)
+    best = (0.0, 0.0)
     for field in item.split("\n"):
         for s in range(0, max(1, len(field) - ITEM_WINDOW + ITEM_STEP), ITEM_STEP):
             w = field[s : s + ITEM_WINDOW]
             if len(w) >= STRETCH:
-                best = max(best, lcs_length(w, p) / len(w))
+                own = np.unique(buckets(np.frombuffer(w.encode("utf-32-le"), np.uint32)))
+                idf = space.idf[space.column[own]]
+                best = max(best, (lcs_length(w, p) / len(w), float(np.isin(own[idf >= np.median(idf)], held).mean())))
     return best
