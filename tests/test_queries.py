@@ -22,3 +22,13 @@ def test_entry(spark, sf):
 
     assert entry.entry(spark).columns == ["task", "n", "degenerate_rate"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_rule_score_of_all_runs(spark, sf, con):
+    runs = set(con.execute("select distinct variant, seed from response where task = 'compassion'").fetchall())
+    for name in ("rule_score", "missing_responses"):
+        every = core_queries.QUERIES[f"{name}_runs"](spark, sf)
+        one = every.where(core_queries.ONE_RUN).drop("variant", "seed")
+        assert sorted(map(str, one.collect())) == sorted(map(str, core_queries.QUERIES[name](spark, sf).select(one.columns).collect()))
+    got = {tuple(r) for r in core_queries.QUERIES["rule_score_runs"](spark, sf).select("variant", "seed").distinct().collect()}
+    assert got == runs and len(runs) > 1

@@ -188,6 +188,37 @@ def rule_score(spark, sf):
     return t.select("id", *(c.alias(n) for n, c in scoring.rule_v3(F.col("response"), F.col("anti_patterns")).items()))
 
 
+SAME_RUN = "r.id = {0}.id and r.variant is not distinct from g.variant and r.seed is not distinct from g.seed"
+
+
+def _runs(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """Each item in each (variant, seed) that has responses."""
+    return items.crossJoin(F.broadcast(responses.select("variant", "seed").distinct()))
+
+
+def _same_run(a: DataFrame, b: DataFrame):
+    return (a["id"] == b["id"]) & a["variant"].eqNullSafe(b["variant"]) & a["seed"].eqNullSafe(b["seed"])
+
+
+@query(f"with g as (select distinct variant, seed from response where task = 'compassion'), r as (select variant, seed, id, arg_max(coalesce(response, chr(0)), row_id) as response from response where task = 'compassion' group by variant, seed, id), t as (select g.variant, g.seed, i.id, coalesce(nullif(response, chr(0)), '') as x, coalesce(list_bool_or(list_transform(anti_patterns, lambda p: contains(coalesce(nullif(response, chr(0)), ''), p))), false) as bad from {ITEMS} i cross join g left join r on {SAME_RUN.format('i')}) select variant, seed, id, bad as has_anti, not bad and length(x) > 0 and length(x) < 200 as passed from t")
+def rule_score_runs(spark, sf):
+    """Rule score of all compassion items in every run; a missing response fails."""
+    answers = table(spark, sf, "response").where("task = 'compassion'")
+    items = _runs(table(spark, sf, "compassion_synth_v06").select("id", "anti_patterns").dropDuplicates(["id"]), answers)
+    last = answers.groupBy("variant", "seed", "id").agg(F.max_by("response", "row_id").alias("response"))
+    t = items.join(last, _same_run(items, last), "left").select(items["variant"], items["seed"], items["id"], "anti_patterns", "response")
+    return t.select("variant", "seed", "id", *(c.alias(n) for n, c in scoring.rule_v3(F.col("response"), F.col("anti_patterns")).items()))
+
+
+@query(f"select distinct g.variant, g.seed, c.id, 'missing response' as error from compassion_synth_v06 c cross join (select distinct variant, seed from response) g where not exists (select 1 from response r where {SAME_RUN.format('c')})")
+def missing_responses_runs(spark, sf):
+    """Items without a response in each run."""
+    answers = table(spark, sf, "response")
+    items = _runs(table(spark, sf, "compassion_synth_v06").select("id").distinct(), answers)
+    have = answers.select("variant", "seed", "id").distinct()
+    return items.join(have, _same_run(items, have), "left_anti").select("variant", "seed", "id", F.lit("missing response").alias("error"))
+
+
 @query("select variant, task, seed, id, arg_max(row_id, row_id) as row_id, nullif(arg_max(coalesce(response, chr(0)), row_id), chr(0)) as response from response group by all")
 def join_last_wins(spark, sf):
     """The last response of each variant, task, seed and id."""
