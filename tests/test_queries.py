@@ -32,3 +32,11 @@ def test_rule_score_of_all_runs(spark, sf, con):
         assert sorted(map(str, one.collect())) == sorted(map(str, core_queries.QUERIES[name](spark, sf).select(one.columns).collect()))
     got = {tuple(r) for r in core_queries.QUERIES["rule_score_runs"](spark, sf).select("variant", "seed").distinct().collect()}
     assert got == runs and len(runs) > 1
+
+
+def test_schema_kinds_of_all_tables(spark, sf):
+    found = {}
+    for r in core_queries.QUERIES["schema_kind_counts_all"](spark, sf).collect():
+        found.setdefault(r.name, set()).add(r.kind)
+    assert set(found) == set(core_queries.KINDS)
+    assert all(k in found[n] for n, k in core_queries.KINDS.items())

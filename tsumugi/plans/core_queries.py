@@ -418,6 +418,25 @@ def schema_kind_counts(spark, sf):
     return out
 
 
+#: Columns of the kinds of items that a table has not.
+ABSENT = {"compassion_synth_v06": ("category", "ideal_action", "ideal_response_examples", "rubric"), "family_v03_additions": ("axis", "ideal_action", "ideal_response_examples"), "keigo_synth_v06": ("category", "user", "ideal_action", "ideal_response_examples", "rubric"), "silence": ("axis", "expected_qualities", "ideal_response_example")}
+
+
+def _kind_sql(name: str) -> str:
+    value = lambda c: "null" if c in ABSENT[name] else f'"{c}"'
+    has = lambda keys: " and ".join(f"{value(c)} is not null" for c in keys)
+    lacks = ", ".join(f"case when {value(c)} is null then '{c}' end" for c in sorted(validate.STANDARD))
+    return f"select '{name}' as name, case when {has(validate.STANDARD)} then 'standard' when {has(validate.SILENCE_LEGACY)} then 'silence_legacy' else 'missing:' || array_to_string(list_filter([{lacks}], lambda x: x is not null), ',') end as kind, count(*) as n from {name} group by 2"
+
+
+@query(" union all ".join(map(_kind_sql, KINDS)))
+def schema_kind_counts_all(spark, sf):
+    """Kinds of items of each table, also of those whose items are not standard."""
+    parts = [(n, table(spark, sf, n)) for n in KINDS]
+    counted = [t.select(F.lit(n).alias("name"), validate.schema_kind(t).alias("kind")).groupBy("name", "kind").agg(F.count("*").alias("n")) for n, t in parts]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2]).unionByName(counted[3])
+
+
 @query("select id, count(*) as n from compassion_synth_v06 group by id having count(*) > 1")
 def dup_ids(spark, sf):
     """Ids that stand more than once."""
