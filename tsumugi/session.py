@@ -62,6 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def discard(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of finished intermediate tables; one that is missing is left alone."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(conf).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of what finished jobs left: their broadcasts and shuffles stay on the driver and
     the executors' disks until the driver's objects for them are collected. For long loops."""
