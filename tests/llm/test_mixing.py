@@ -35,11 +35,26 @@ def test_budget_and_fair_order(spark):
     assert half[half.source == "a"].tokens.sum() / half.tokens.sum() == pytest.approx(0.75, abs=0.05)
 
 
-def test_large_documents_come_last(spark):
-    df = spark.createDataFrame([(k, "a", 10) for k in range(100)] + [(k, "b", 10) for k in range(200, 260)] + [(999, "b", 5000)], "doc_id long, source string, tokens int")
+def test_order_does_not_depend_on_size(spark):
+    sizes = [(k, "a", 10 if k % 10 else 900) for k in range(400)] + [(k, "b", 20) for k in range(400, 2400)]
+    df = spark.createDataFrame(sizes, "doc_id long, source string, tokens int")
+    even = spark.createDataFrame([(k, s, 1) for k, s, _ in sizes], "doc_id long, source string, tokens int")
     targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 1)], "mix_id string, source string, target_share double, max_repeats int")
-    got = mixing.mix(df, targets).toPandas()
-    assert 999 not in set(got.doc_id) and set(got.source) == {"a", "b"}
+    first = [r.doc_id for r in mixing.mix(df, targets).collect() if r.source == "a"]
+    assert first == [r.doc_id for r in mixing.mix(even, targets).collect() if r.source == "a"][: len(first)]
+    assert any(k % 10 == 0 for k in first)
+
+
+def test_caps_bind_and_shortfalls_show(spark):
+    rows, df = docs(spark, random.Random(3), {"a": 2000, "b": 100})
+    targets = spark.createDataFrame([("m", "a", 0.5, 1), ("m", "b", 0.5, 3)], "mix_id string, source string, target_share double, max_repeats int")
+    every = sum(r[2] for r in rows if r[1] == "a"), sum(r[2] for r in rows if r[1] == "b")
+    mixed = mixing.mix(df, targets, budget=40_000)
+    report = mixing.shares(mixed, targets).toPandas().set_index("source")
+    assert report.tokens["b"] == 3 * every[1] and report.repeats["b"] == 3
+    assert report.shortfall["b"] == pytest.approx(0.5 - 3 * every[1] / 40_000, abs=0.002) and report.shortfall["a"] == 0
+    assert 40_000 - 60 <= report.tokens.sum() <= 40_000
+    assert mixing.mix(df, targets, budget=10 * sum(every)).groupBy().sum("tokens").first()[0] == every[0] + 3 * every[1]
 
 
 def test_empty(spark):

@@ -127,14 +127,14 @@ MIXED = """with r as (select doc_id, source, coalesce(strlen(text), 0) + 1 as to
     w as (select distinct mix_id, source, target_share, max_repeats from mix_targets where target_share > 0 and max_repeats >= 1),
     t as (select source, sum(tokens)::bigint as total from r group by source),
     b as (select mix_id, min(total * max_repeats / target_share) as budget from t join w using (source) group by mix_id),
-    q as (select w.*, total, budget * target_share as quota from w join t using (source) join b using (mix_id)),
-    e as (select q.*, doc_id, tokens, lpad(least(999, floor(tokens * 20 / quota))::int::varchar, 3, '0') || md5('2026:' || doc_id) as place from r join q using (source)),
-    u as (select *, (sum(tokens) over (partition by mix_id, source order by place, doc_id rows unbounded preceding))::bigint as upto from e),
-    c as (select *, unnest(range(0, least(max_repeats, ceil(quota / total)::int))) as p from u),
-    m as (select mix_id, source, doc_id, (p + 1)::int as pass, tokens::bigint as tokens, (p * total + upto)::bigint / target_share as virtual_finish from c where p * total + upto - tokens / 2 <= quota)"""
+    q as (select w.mix_id, source, target_share, max_repeats, total, doc_id, tokens, (sum(tokens) over (partition by w.mix_id, source order by md5('2026:' || doc_id), doc_id))::bigint as upto from r join w using (source) join t using (source)),
+    c as (select *, unnest(range(1, max_repeats + 1)) as pass from q),
+    f as (select *, ((pass - 1) * total + upto)::bigint / target_share as virtual_finish from c),
+    g as (select *, sum(tokens) over (partition by mix_id order by virtual_finish, source, doc_id, pass) as served from f),
+    m as (select mix_id, source, doc_id, pass::int as pass, tokens::bigint as tokens, virtual_finish from g join b using (mix_id) where served <= budget)"""
 SQL: dict[str, str] = {
     "p9_mix": f"{MIXED} select * from m",
     "p9_shares": f"""{MIXED}, s as (select mix_id, source, sum(tokens)::bigint as tokens, count(*) as uses, max(pass) as repeats from m group by all),
     x as (select mix_id, source, target_share, coalesce(tokens, 0)::bigint as tokens, coalesce(uses, 0) as uses, coalesce(repeats, 0)::int as repeats from mix_targets left join s using (mix_id, source))
-    select mix_id, source, target_share, round(tokens / sum(tokens) over (partition by mix_id), 6) as actual_share, tokens, uses, repeats from x""",
+    select mix_id, source, target_share, round(tokens / sum(tokens) over (partition by mix_id), 6) as actual_share, round(greatest(0, target_share - actual_share), 6) as shortfall, tokens, uses, repeats from x""",
 }
