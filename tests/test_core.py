@@ -141,6 +141,78 @@ def test_parse_items_round_trip(items):
     assert generate.parse_items(cut)[: len(items)] == items
 
 
+@pytest.mark.parametrize("text, want", [
+    ("「x」 [{\"a\": 「い，う」, 'b': 'it',}] z", [{"a": "い,う", "b": "it"}]), ('[{"a": 1}] and {"b": 2}', [{"a": 1}]), ('{"a": {"b": [1, {"c": 2}]}} {"d": tru}', [{"a": {"b": [1, {"c": 2}]}}]),
+    ('[{"a": "x}{"}, {"b": "cut', [{"a": "x}{"}]), ("[{'a': 'he said \"hi\"'}]", [{"a": 'he said "hi"'}]), ("[[[[", []), ('{"a": "\\', []), ("[{" * 5000, []),
+])
+def test_parse_items_leniently(text, want):
+    assert generate.parse_items(text) == want
+
+
+def test_parse_list():
+    assert generate.parse_list('x [{"a": 1}, 2, {"b": 3}] y') == [{"a": 1}, 2, {"b": 3}] and generate.parse_list("[{'a': 1,}]") == [{"a": 1}]
+    assert generate.parse_list('{"a": 1}') == [] and generate.parse_list('[{"a": bad}]') == [] and generate.parse_list(None) == []
+
+
+GOOD = {"context": "雨の日の朝", "expected_qualities": ["ab", "cd"], "anti_patterns": ["ef", "gh"], "ideal_response_example": "そうですね"}
+
+
+@pytest.mark.parametrize("change, want, old", [
+    ({}, "ok", True), ({"context": None}, "ctx-too-short", True), ({"expected_qualities": "ab"}, "eq-not-list", False), ({"anti_patterns": {}}, "ap-not-list", False), ({"expected_qualities": ["ab"]}, "eq-len:1", False),
+    ({"anti_patterns": ["ab"] * 7}, "ap-len:7", True), ({"expected_qualities": ["a", "bc"]}, "eq-item-shape", True), ({"anti_patterns": [1, "bc"]}, "ap-item-shape", True), ({"ideal_response_example": 5}, "ire-len:N/A", False),
+    ({"ideal_response_example": "短い"}, "ire-len:2", False), ({"note": {"x": ["AIちゃん"]}}, "firewall-hit", True), ({"note": ["AIちゃん"]}, "firewall-hit", False),
+])
+def test_object_reason(change, want, old):
+    item = {**GOOD, **change}
+    assert (validate.object_reason(item), validate.object_valid_v1(item)) == (want, old)
+    assert validate.object_reason([]) == "not-a-dict" and validate.object_reason({"context": ""}) == "missing:anti_patterns,expected_qualities,ideal_response_example"
+
+
+@pytest.mark.parametrize("target", [4, 1000])
+def test_accept_loop_like_the_loop(spark, target):
+    rng = random.Random(7)
+    make = lambda: rng.choice([None, "", "nothing", *[json.dumps([{**GOOD, "context": f"場面の番号は{rng.randint(0, 25)}", **({} if rng.random() < 0.7 else {"anti_patterns": []})} for _ in range(rng.randint(1, 3))], ensure_ascii=False) for _ in range(5)]])
+    log = [(c, s, r, f"s{s}", make()) for c in range(2) for s in range(8) for r in range(3)]
+    seen, want, n = set(), [], 0
+    for c in range(2):
+        for s in range(8):
+            for r in range(3):
+                if n >= target:
+                    break
+                text = next(x[4] for x in log if x[:3] == (c, s, r))
+                items = generate.parse_items(text)
+                if not items:
+                    want.append((c, s, r, None, "no_response" if text is None else "parse_fail", None))
+                gave = False
+                for k, item in enumerate(items):
+                    if n >= target:
+                        break
+                    if validate.object_reason(item) != "ok":
+                        want.append((c, s, r, k, "invalid", None))
+                    elif item["context"] in seen:
+                        want.append((c, s, r, k, "duplicate", None))
+                    else:
+                        seen.add(item["context"])
+                        want.append((c, s, r, k, "accepted", f"synth-{n:04d}"))
+                        n, gave = n + 1, True
+                if gave:
+                    break
+    df = spark.createDataFrame(log, "cycle int, seed_ord int, retry int, seed_id string, response string")
+    got = generate.accept_loop(df, target)
+    assert sorted(map(str, (tuple(x) for x in got.select("cycle", "seed_ord", "retry", "pos", "outcome", "id").collect()))) == sorted(map(str, want))
+    assert generate.run_metrics(got).first().accepted == n
+    assert generate.accept_loop(df.limit(0), target).count() == 0
+
+
+def test_compare_arms_over_common_ids(spark):
+    rows = [("a", "x", "b", 1, "<|user|>古い", "あいう"), ("a", "x", "b", 2, "<|user|>あい test", "あいう"), ("a", "x", "t", 1, "あいう", "あいう"), ("z", "x", "b", 1, "only one arm", "g"), ("n", "y", "b", 1, None, "g"), ("n", "y", "t", 1, "", None), (None, "y", "t", 1, "q", "g")]
+    df = spark.createDataFrame(rows, "id string, axis string, arm string, ord int, response string, gold string")
+    got = summary.compare_arms(df, ["id"], "axis", "arm", "b", "t", "response", "gold", ["ord"])
+    assert {r.axis: tuple(r)[1:] for r in got.collect()} == {"x": (1, 7.0, 3.0, 0.5, 1.0, 1, 0), "y": (1, 0.0, 0.0, 0.0, 0.0, 0, 0)}
+    total = summary.grand_macro(got).first()
+    assert (total.groups, total.lift, total.art_delta, total.lift_pct) == (2, 0.25, -1, 100.0)
+
+
 def test_generated_and_judged(spark):
     df = spark.createDataFrame([("a", "p"), ("b", None)], "id string, prompt string")
 

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The wide marks that break JSON, and their half-width forms.
 WIDE, HALF = "：，（）「」『』“”‘’", ":,()\"\"\"\"\"\"''"
+#: Those of them that may stand inside a string.
+HALF_WIDTH = str.maketrans("：，（）", ":,()")
 # Chat tokens and HTML tags that leak into generated text.
 CHAT_TOKENS = ("<|assistant|>", "<|endoftext|>", "<|user|>", "<|system|>")
 TAGS = "em|p|br|span|div|strong|b|i|u"

@@ -55,18 +55,20 @@ def canonical_axis(axis: Column | str, renamed: dict[str, str] | None = None) ->
     return F.coalesce(a, F.lit("unknown"))
 
 
-def ranked(df: DataFrame, by: str, order: list[str], name: str = "rank", parts: int = 64) -> DataFrame:
+def ranked(df: DataFrame, by: str, order: list[str], name: str = "rank", parts: int | None = None) -> DataFrame:
     """``df`` with each row's 0-based place in its group, in order of the columns ``order``.
 
     A group may hold a third of all rows: rows are range-sorted by group and order, counted by
-    partition, and offset by the counts before, so no group is put in one task.
+    partition, and offset by the counts before, so no group is put in one task. ``parts``:
+    partitions of the sort, as many as the session's shuffles have by default.
     """
-    spread = df.repartitionByRange(parts, F.col(by), *map(F.col, order)).sortWithinPartitions(by, *order)
+    keys = [F.col(by), *map(F.col, order)]
+    spread = (df.repartitionByRange(parts, *keys) if parts else df.repartitionByRange(*keys)).sortWithinPartitions(by, *order)
     placed = cut(spread.withColumn("_p", F.spark_partition_id()))  # sampled bounds differ from run to run: sorted once
     counts = placed.groupBy(by, "_p").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     within = placed.withColumn("_r", F.row_number().over(Window.partitionBy(by, "_p").orderBy(*order)))
-    return within.join(F.broadcast(before.drop("_n")), [by, "_p"]).withColumn(name, F.col("_r") + F.col("_b") - 1).drop("_p", "_r", "_b")
+    return within.join(before.drop("_n"), [by, "_p"]).withColumn(name, F.col("_r") + F.col("_b") - 1).drop("_p", "_r", "_b")
 
 
 def renumbered(df: DataFrame, axis: str, order: list[str], pattern: str = "v06-%s-%04d", start: int = 0) -> DataFrame:
@@ -97,7 +99,7 @@ def split(df: DataFrame, by: str, key: str, share: float = 0.8, seed: int = 2026
     sizes = d.groupBy(by).agg(F.count("*").alias("_n"))
     out = ranked(d.withColumn("_g", F.coalesce(F.col(by), F.lit("\x00"))), "_g", ["_d", key], "_k").drop("_g")
     known = sizes.withColumn("_g2", F.coalesce(F.col(by), F.lit("\x00"))).select("_g2", "_n")
-    joined = out.withColumn("_g2", F.coalesce(F.col(by), F.lit("\x00"))).join(F.broadcast(known), "_g2")
+    joined = out.withColumn("_g2", F.coalesce(F.col(by), F.lit("\x00"))).join(known, "_g2")
     return joined.withColumn("part", F.when(F.col("_k") < F.floor(F.col("_n") * share), "train").otherwise("eval")).drop("_d", "_k", "_n", "_g2")
 
 

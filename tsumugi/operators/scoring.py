@@ -107,11 +107,6 @@ def artifacts(text: Column | str) -> dict[str, Column]:
     return {"english_fragment": F.size(english_runs(s)), "backtick": count_matches(s, BACKTICK), "html_tag": count_matches(s, r"(?i)</?(?:em|p|br|span|div)>"), "placeholder_only": s.rlike(PLACEHOLDER).cast("int")}
 
 
-def with_scores(df: DataFrame, scores: dict[str, Column]) -> DataFrame:
-    """``df`` and the score columns; a clashing column gets the score."""
-    return df.withColumns(scores)
-
-
 def answered(items: DataFrame, responses: DataFrame, key: str = "id") -> DataFrame:
     """Items with a response, one row each: the response that came last (by ``ord``) of each id
     counts, empty ones are skipped, blank ones stay. Null keys match nothing."""
@@ -136,14 +131,16 @@ def unknown_ids(responses: DataFrame, items: DataFrame, key: str = "id") -> Data
 
 
 def by_task(df: DataFrame) -> DataFrame:
-    """``df`` (task, response, anti_patterns, examples) with ``passed`` and ``total`` of the
-    rule its task stands for: silence by ``silence_v2``, family by ``family_v2``, any other with
-    a name of keigo by length and degeneration alone; other tasks have no row. One pass."""
-    kind = F.when(F.startswith("task", F.lit("silence")), "silence").when(F.startswith("task", F.lit("family")), "family").when(F.startswith("task", F.lit("keigo")), "keigo")
-    deg = degenerate_reason("response") != ""
-    passed = F.when(kind == "silence", silence_v2(F.col("response"), F.col("examples"))["passed"]).when(kind == "keigo", ~deg)
-    total = F.when(kind == "family", family_v2(F.col("response"), F.col("anti_patterns"))["total"])
-    return df.where(kind.isNotNull() & (F.col("response") != "")).withColumns({"passed": passed, "total": total, "is_degenerate": deg})
+    """``df`` (task, response, anti_patterns, examples, level, markers) with ``passed`` and
+    ``total`` of the rule its task's name begins with: keigo by ``keigo_v2``, silence by
+    ``silence_v2``, family by ``family_v2``, which gives no pass but a total; other tasks and
+    empty responses have no row. Null patterns, examples and markers are none. One pass."""
+    kind = F.when(F.startswith("task", F.lit("keigo")), "keigo").when(F.startswith("task", F.lit("silence")), "silence").when(F.startswith("task", F.lit("family")), "family")
+    text, anti = F.col("response"), F.col("anti_patterns")
+    keigo = keigo_v2(text, F.coalesce("level", F.lit("")), F.coalesce("markers", F.array().cast("array<string>")), F.coalesce(anti, F.array().cast("array<string>")))
+    passed = F.when(kind == "keigo", keigo["passed"]).when(kind == "silence", silence_v2(text, F.col("examples"))["passed"])
+    total = F.when(kind == "family", family_v2(text, anti)["total"])
+    return df.where(kind.isNotNull() & (F.col("response") != "")).withColumns({"passed": passed, "total": total, "is_degenerate": degenerate_reason("response") != ""})
 
 
 def merged(responses: DataFrame, items: DataFrame, key: str, order: list[str], n: int = 3) -> DataFrame:

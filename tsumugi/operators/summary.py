@@ -9,6 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tsumugi.functions.text import clean_generated, overlap
+from tsumugi.operators.scoring import artifacts
+
+
+# Fixed value: the greatest total a summary reports.
+MAX_POSSIBLE = 12
+
 
 def rate(c: Column) -> Column:
     """Share of true values; null of none."""
@@ -16,8 +23,8 @@ def rate(c: Column) -> Column:
 
 
 def task_summary(df: DataFrame, by: list[str]) -> DataFrame:
-    """n, pass and degenerate rate and mean total of the columns ``passed``, ``is_degenerate``
-    and ``total``; a column that is not there gives null."""
+    """n, pass and degenerate rate, mean total and the greatest total a score reports, of the
+    columns ``passed``, ``is_degenerate`` and ``total``; one that is not there gives null."""
     have = df.columns
     null = F.lit(None).cast("double")
     return df.groupBy(*by).agg(
@@ -25,6 +32,7 @@ def task_summary(df: DataFrame, by: list[str]) -> DataFrame:
         (F.bround(rate(F.col("passed")), 6) if "passed" in have else F.max(null)).alias("pass_rate"),
         (F.bround(rate(F.col("is_degenerate")), 6) if "is_degenerate" in have else F.max(null)).alias("degenerate_rate"),
         (F.bround(F.avg("total"), 2) if "total" in have else F.max(null)).alias("mean_total"),
+        (F.when(F.count("total") > 0, F.lit(MAX_POSSIBLE)) if "total" in have else F.max(null).cast("int")).alias("max_possible"),
     )
 
 
@@ -39,19 +47,36 @@ def seed_mean_std(df: DataFrame, by: list[str], seed: str, value: Column) -> Dat
     return per.groupBy(*by).agg(F.count("*").alias("seeds"), F.bround(F.avg("v"), 6).alias("mean"), F.bround(F.stddev_samp("v"), 6).alias("std"))
 
 
-def compare_arms(df: DataFrame, by: str, arm: str, base: str, tuned: str, measures: list[str], sums: list[str]) -> DataFrame:
-    """A row a group: means of ``measures`` and sums of ``sums`` in both arms, one pass."""
-    own = lambda a, m: F.when(F.col(arm) == a, F.col(m))
-    aggs = [F.count_if(F.col(arm) == a).alias(f"n_{a}") for a in (base, tuned)]
-    aggs += [F.bround(F.avg(own(a, m)), 6).alias(f"{m}_{a}") for m in measures for a in (base, tuned)]
-    aggs += [F.sum(own(a, m)).alias(f"{m}_{a}") for m in sums for a in (base, tuned)]
-    return df.where(F.col(arm).isin(base, tuned)).groupBy(by).agg(*aggs)
-
-
-def grand_macro(df: DataFrame, measure: str, base: str, tuned: str) -> DataFrame:
-    """Mean over groups of the group means, their difference and the lift in percent."""
-    a, b = F.avg(f"{measure}_{base}"), F.avg(f"{measure}_{tuned}")
-    return df.agg(F.count("*").alias("groups"), F.bround(a, 6).alias("base"), F.bround(b, 6).alias("tuned"), F.bround(b - a, 6).alias("lift"), F.bround(100 * (b - a) / F.greatest(F.lit(1e-4), F.abs(a)), 4).alias("lift_pct"))
+def compare_arms(df: DataFrame, key: list[str], by: str, arm: str, base: str, tuned: str, text: str, gold: str, order: list[str]) -> DataFrame:
+    """A row a group: two runs over the keys both have. n, mean length of the cleaned texts
+    and their overlap with ``gold``, and the sum of all artifacts, for either run.
+
+    The last row in ``order`` of a key and run counts, also a null text, which is as an empty
+    one; keys of one run alone and null keys are left out.
+    """
+    spot = F.struct(*order)
+    last = df.where(F.col(arm).isin(base, tuned)).groupBy(*key, arm).agg(F.max_by(F.struct(by, text, gold), spot).alias("x"))
+    s = F.coalesce(clean_generated(F.col(f"x.{text}")), F.lit(""))
+    parts = artifacts(F.coalesce(F.col(f"x.{text}"), F.lit("")))
+    one = last.select(*key, arm, F.col(f"x.{by}").alias(by), F.length(s).alias("len"), overlap(s, F.coalesce(F.col(f"x.{gold}"), F.lit(""))).alias("overlap"), sum(parts.values(), F.lit(0)).cast("bigint").alias("art"))
+    side = lambda a: one.where(F.col(arm) == a)
+    b, t = side(base).drop(arm), side(tuned).select(*key, *(F.col(c).alias(f"{c}_tuned") for c in ("len", "overlap", "art")))
+    both = b.withColumnsRenamed({c: f"{c}_base" for c in ("len", "overlap", "art")}).join(t, key)
+    means = [F.avg(f"{m}_{a}").alias(f"{m}_{a}") for m in ("len", "overlap") for a in ("base", "tuned")]
+    return both.groupBy(by).agg(F.count("*").alias("n"), *means, *(F.sum(f"art_{a}").alias(f"art_{a}") for a in ("base", "tuned")))
+
+
+def grand_macro(df: DataFrame) -> DataFrame:
+    """One row of a comparison: means over groups of their means, sums of artifacts, the lift of
+    the overlap, also in percent (guarded against 0), and the differences of the rest."""
+    o, p, m, n = (F.avg(c) for c in ("overlap_base", "overlap_tuned", "len_base", "len_tuned"))
+    a, b = F.sum("art_base"), F.sum("art_tuned")
+    return df.agg(
+        F.count("*").alias("groups"),
+        *(F.bround(x, 6).alias(y) for x, y in ((m, "len_base"), (n, "len_tuned"), (n - m, "len_delta"), (o, "overlap_base"), (p, "overlap_tuned"), (p - o, "lift"))),
+        F.bround(100 * (p - o) / F.greatest(F.lit(1e-4), o), 4).alias("lift_pct"),
+        a.alias("art_base"), b.alias("art_tuned"), (b - a).alias("art_delta"),
+    )
 
 
 def histogram(df: DataFrame, reason: str, order: list[str], top: int | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +16,7 @@ from tsumugi.operators.schema_drift import parse
 AXES = ("family", "keigo", "silence", "compassion", "local_culture", "nuance", "generation_gap", "workplace")
 STANDARD = ["id", "axis", "context", "expected_qualities", "anti_patterns", "ideal_response_example"]
 NEEDED = ["context", "expected_qualities", "anti_patterns", "ideal_response_example"]
+LISTS = [("expected_qualities", "eq"), ("anti_patterns", "ap")]
 KEIGO_LEGACY = ["id", "level_required", "scenario", "user", "expected_response", "evaluation"]
 SILENCE_LEGACY = ["id", "category", "context", "user", "ideal_action", "ideal_response_examples", "anti_patterns", "rubric"]
 
@@ -59,6 +60,67 @@ def item_reason(df: DataFrame, needed: list[str] | None = None, firewall: tuple[
     )
 
 
+def strings(value: object) -> Iterator[str]:
+    """All strings in a value read from JSON, in order, however deep."""
+    if isinstance(value, str):
+        yield value
+    elif isinstance(value, dict | list):
+        for x in value.values() if isinstance(value, dict) else value:
+            yield from strings(x)
+
+
+def _text(value: object, low: int, high: float) -> bool:
+    return isinstance(value, str) and low <= len(value) <= high
+
+
+#: Rules for an object read from JSON, in order: what is wrong, and the reason it then has.
+OBJECT_RULES: list[tuple[Callable[[dict], bool], Callable[[dict], str]]] = [
+    (lambda x: not set(NEEDED) <= x.keys(), lambda x: "missing:" + ",".join(sorted(set(NEEDED) - x.keys()))),
+    *((lambda x, k=k: not isinstance(x[k], list), lambda x, s=s: f"{s}-not-list") for k, s in LISTS),
+    *((lambda x, k=k: not 2 <= len(x[k]) <= 6, lambda x, k=k, s=s: f"{s}-len:{len(x[k])}") for k, s in LISTS),
+    *((lambda x, k=k: not all(_text(e, 2, 100) for e in x[k]), lambda x, s=s: f"{s}-item-shape") for k, s in LISTS),
+    (lambda x: not _text(x["ideal_response_example"], 5, 500), lambda x: f"ire-len:{len(v) if isinstance(v := x['ideal_response_example'], str) else 'N/A'}"),
+    (lambda x: not _text(x["context"], 5, float("inf")), lambda x: "ctx-too-short"),
+]
+
+
+def object_reason(item: object, firewall: tuple[str, ...] = FIREWALL) -> str:
+    """:func:`item_reason` of a value read from JSON, whose fields may have any type."""
+    if not isinstance(item, dict):
+        return "not-a-dict"
+    for wrong, reason in OBJECT_RULES:
+        if wrong(item):
+            return reason(item)
+    blob = " ".join(strings(item))
+    return "firewall-hit" if any(t in blob for t in firewall) else "ok"
+
+
+def object_valid_v1(item: object, firewall: tuple[str, ...] = FIREWALL) -> bool:
+    """The older rule: the needed keys, lists of two or more, a response of 5 to 500 characters,
+    and no firewall term in a string or a list of strings."""
+    if not isinstance(item, dict) or not set(NEEDED) <= item.keys():
+        return False
+    if not all(isinstance(item[k], list) and len(item[k]) >= 2 for k, _ in LISTS):
+        return False
+    if not _text(item["ideal_response_example"], 5, 500):
+        return False
+    flat = [x for v in item.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)]
+    return not any(t in " ".join(flat) for t in firewall)
+
+
+def line_reasons(df: DataFrame, line: str, firewall: tuple[str, ...] = FIREWALL) -> DataFrame:
+    """(reason, valid_v1) a line of JSON: :func:`object_reason` and the older rule; both null
+    where the line is none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            read = [parse(x) for x in pdf[line]]
+            rows = [(None, None) if x is None else (object_reason(x, firewall), object_valid_v1(x, firewall)) for x in read]
+            yield pd.DataFrame(rows, columns=["reason", "valid_v1"])
+
+    return df.select(line).mapInPandas(run, "reason string, valid_v1 boolean")
+
+
 def clean_reason(df: DataFrame, axis: Column | str) -> Column:
     """Why an item is dropped in cleaning, or 'ok'."""
     v = item_reason(df)

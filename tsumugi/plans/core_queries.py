@@ -242,16 +242,31 @@ def unknown_ids(spark, sf):
 FAM_TOTAL = "case when r = '' or deg then 0 else least(3, e + fits) + (case when bad then 0 else 2 end) + fits + (case when nat then 2 else 1 end) + least(3, w) end"
 
 
-@query(f"""with t as (select row_id, task, response, f.anti_patterns as ap, s.ex, {s_strip('response')} as r, {s_degenerate('response')} <> '' as deg from response left join family_v03_additions f using (id) left join (select id, ideal_response_examples as ex from silence) s using (id) where task in ('silence', 'family', 'keigo') and response <> ''),
+KEIGO_SCORED = """case when len(list_filter(ks, lambda m: contains(response, m))) / greatest(len(ks), 1) - (case when kbad then 0.5 else 0 end) >= 0.5 and not kbad and not deg then true else false end"""
+BY_TASK = f"""with k as (select distinct id, expected_qualities as ks, anti_patterns as kap from keigo_synth_v06),
+    t as (select row_id, task, response, f.anti_patterns as ap, s.ex, coalesce(k.ks, []) as ks, coalesce(k.kap, []) as kap, {s_strip('response')} as r, {s_degenerate('response')} <> '' as deg from response left join family_v03_additions f using (id) left join (select id, ideal_response_examples as ex from silence) s using (id) left join k using (id) where task in ('silence', 'family', 'keigo') and response <> ''),
     u as (select *, (length(r) between 5 and 150)::int as fits, {s_count('r', scoring.EMPATHY)} as e, {s_count('r', scoring.WARMTH)} as w, {FAM_ANTI} as bad, regexp_matches(r, '[。！？.!?]$') or length(r) < 30 as nat,
-        {s_any('r', scoring.SILENCE_V2)} or length(r) <= 8 or coalesce(list_bool_or(list_transform(ex, lambda x: {s_strip('x')} = r)), false) as quiet from t)
-    select row_id, task, case when task = 'silence' then not deg and quiet when task = 'keigo' then not deg end as passed, case when task = 'family' then {FAM_TOTAL} end as total, deg as is_degenerate from u""")
+        coalesce(list_bool_or(list_transform(kap, lambda p: {s_quoted('p', 'response')})), false) as kbad,
+        {s_any('r', scoring.SILENCE_V2)} or length(r) <= 8 or coalesce(list_bool_or(list_transform(ex, lambda x: {s_strip('x')} = r)), false) as quiet from t),
+    v as (select row_id, task, case when task = 'silence' then not deg and quiet when task = 'keigo' then {KEIGO_SCORED} end as passed, case when task = 'family' then {FAM_TOTAL} end as total, deg as is_degenerate from u)"""
+
+
+@query(f"{BY_TASK} select * from v")
 def scores_by_task(spark, sf):
-    """Every response by the rule of its task."""
+    """Every response by the rule of its task, with its own item's patterns and markers."""
     r = table(spark, sf, "response").select("row_id", "task", "id", "response")
-    anti = table(spark, sf, "family_v03_additions").select("id", "anti_patterns")
+    anti = table(spark, sf, "family_v03_additions").select("id", F.col("anti_patterns").alias("fap"))
     ex = table(spark, sf, "silence").select("id", F.col("ideal_response_examples").alias("examples"))
-    return scoring.by_task(r.join(anti, "id", "left").join(ex, "id", "left")).select("row_id", "task", "passed", "total", "is_degenerate")
+    keigo = table(spark, sf, "keigo_synth_v06").select("id", F.col("expected_qualities").alias("markers"), F.col("anti_patterns").alias("kap")).distinct()
+    every = r.join(anti, "id", "left").join(ex, "id", "left").join(keigo, "id", "left")
+    every = every.withColumn("anti_patterns", F.when(F.col("task") == "keigo", F.col("kap")).otherwise(F.col("fap"))).withColumn("level", F.lit(None).cast("string"))
+    return scoring.by_task(every).select("row_id", "task", "passed", "total", "is_degenerate")
+
+
+@query(f"{BY_TASK} select task, count(*) as n, round_even(avg(passed::int), 6) as pass_rate, round_even(avg(is_degenerate::int), 6) as degenerate_rate, round_even(avg(total), 2) as mean_total, case when count(total) > 0 then 12 end as max_possible from v group by task")
+def score_summary(spark, sf):
+    """Summary of each task by its own rule."""
+    return summary.task_summary(scores_by_task(spark, sf), ["task"])
 
 
 # ---- coverage and comparison ---------------------------------------------------------------
@@ -276,7 +291,7 @@ def slice_coverage(spark, sf):
     return summary.coverage_summary(_legal(spark, sf).withColumn("later", F.col("no") >= 100), ["later"])
 
 
-@query(f"with t as (select variant, {s_degenerate('response')} <> '' as d, not ({s_degenerate('response')} <> '') and length(response) < 200 as p from response where response <> '') select variant, count(*) as n, round_even(avg(p::int), 6) as pass_rate, round_even(avg(d::int), 6) as degenerate_rate, null::double as mean_total from t group by variant")
+@query(f"with t as (select variant, {s_degenerate('response')} <> '' as d, not ({s_degenerate('response')} <> '') and length(response) < 200 as p from response where response <> '') select variant, count(*) as n, round_even(avg(p::int), 6) as pass_rate, round_even(avg(d::int), 6) as degenerate_rate, null::double as mean_total, null::int as max_possible from t group by variant")
 def task_summary(spark, sf):
     """Pass and degenerate rate of each variant."""
     t = table(spark, sf, "response").where("response <> ''").select("variant", F.length("response").alias("n"), scoring.degenerate_reason("response").alias("r"))
@@ -290,6 +305,12 @@ def seed_mean_std(spark, sf):
     return summary.seed_mean_std(t, ["variant", "task"], "seed", (F.length("response") < 60).cast("int"))
 
 
+def s_clean(x: str) -> str:
+    for t in tx.CHAT_TOKENS:
+        x = f"replace({x}, '{t}', '')"
+    return s_strip(x)
+
+
 def s_grams(x: str, n: int) -> str:
     return f"list_distinct(list_transform(range(1, length({x}) - {n} + 2), lambda i: substr({x}, i, {n})))"
 
@@ -310,33 +331,40 @@ def char_overlap(spark, sf):
     return _pairs(spark, sf).select("row_id", F.bround(tx.overlap("response", "gold"), 6).alias("overlap"))
 
 
-ARMS = f"with p as (select seed, variant, {OVER} as o, length(response) as l, len(regexp_extract_all(response, '[a-zA-Z]{{4,}}')) as a from {PAIRS} where variant in ('base_q4', 'tuned_q4')), g as (select seed, " + ", ".join(f"count(*) filter (variant = '{v}') as n_{v}, round_even(avg(o) filter (variant = '{v}'), 6) as overlap_{v}, round_even(avg(l) filter (variant = '{v}'), 6) as len_{v}, (sum(a) filter (variant = '{v}'))::bigint as art_{v}" for v in ("base_q4", "tuned_q4")) + " from p group by seed)"
+GOLDS = "(select distinct id, 'compassion' as task, ideal_response_example as gold from compassion_synth_v06 union select id, 'family', ideal_response_example from family_v03_additions union select distinct id, 'keigo', ideal_response_example from keigo_synth_v06)"
+
+
+def _s_arms() -> str:
+    s = s_clean("response")
+    art = f"(len(regexp_extract_all(s, '[a-zA-Z]{{4,}}')) + len(regexp_extract_all(s, '`[^`]*`')) + len(regexp_extract_all(s, '(?i)</?(?:em|p|br|span|div)>')) + regexp_matches(s, '^(?:{WS}|[.?…」、,「!！？])+$')::int)"
+    over = f"case when length(s) > 1 and length(gold) > 1 then len(list_intersect({s_grams('s', 2)}, {s_grams('gold', 2)})) / least(len({s_grams('s', 2)}), len({s_grams('gold', 2)})) else 0 end"
+    return f"""with l as (select id, variant, response, seed, row_id from response where variant in ('base_q4', 'tuned_q4') and id is not null qualify row_number() over (partition by id, variant order by seed desc, row_id desc) = 1),
+    g as (select id, min(task) as task, min(gold) as gold from {GOLDS} group by id), p as (select l.id, variant, task, coalesce({s}, '') as s, coalesce(gold, '') as gold from l join g using (id)),
+    q as (select id, variant, task, length(s) as n, {over} as o, {art} as a from p),
+    c as (select b.task, count(*) as n, avg(b.n) as len_base, avg(t.n) as len_tuned, avg(b.o) as overlap_base, avg(t.o) as overlap_tuned, sum(b.a)::bigint as art_base, sum(t.a)::bigint as art_tuned from q b join q t on b.id = t.id and b.variant = 'base_q4' and t.variant = 'tuned_q4' group by b.task)"""
 
 
 def _arms(spark, sf):
-    t = _pairs(spark, sf).select("seed", "variant", tx.overlap("response", "gold").alias("overlap"), F.length("response").alias("len"), F.size(tx.english_runs("response")).alias("art"))
-    return summary.compare_arms(t, "seed", "variant", "base_q4", "tuned_q4", ["overlap", "len"], ["art"])
+    parts = [table(spark, sf, n).select("id", F.lit(k).alias("axis"), F.col("ideal_response_example").alias("gold")) for n, k in (("compassion_synth_v06", "compassion"), ("family_v03_additions", "family"), ("keigo_synth_v06", "keigo"))]
+    golds = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(F.min("axis").alias("axis"), F.min("gold").alias("gold"))
+    r = table(spark, sf, "response").select("id", "variant", "seed", "row_id", "response").where("id is not null").join(golds, "id")
+    return summary.compare_arms(r, ["id"], "axis", "variant", "base_q4", "tuned_q4", "response", "gold", ["seed", "row_id"])
 
 
-@query(f"{ARMS} select * from g")
+@query(f"{_s_arms()} select task as axis, n, round_even(len_base, 6) as len_base, round_even(len_tuned, 6) as len_tuned, round_even(overlap_base, 6) as overlap_base, round_even(overlap_tuned, 6) as overlap_tuned, art_base, art_tuned from c")
 def compare_arms(spark, sf):
-    """Two variants side by side, by seed."""
-    return _arms(spark, sf)
+    """Two runs side by side over the items both answered, by axis."""
+    mean = ("len_base", "len_tuned", "overlap_base", "overlap_tuned")
+    return _arms(spark, sf).withColumns({c: F.bround(c, 6) for c in mean})
 
 
-@query(f"{ARMS} select count(*) as groups, round_even(avg(overlap_base_q4), 6) as base, round_even(avg(overlap_tuned_q4), 6) as tuned, round_even(avg(overlap_tuned_q4) - avg(overlap_base_q4), 6) as lift, round_even(100 * (avg(overlap_tuned_q4) - avg(overlap_base_q4)) / greatest(0.0001, abs(avg(overlap_base_q4))), 4) as lift_pct from g")
+@query(f"{_s_arms()} select count(*) as groups, round_even(avg(len_base), 6) as len_base, round_even(avg(len_tuned), 6) as len_tuned, round_even(avg(len_tuned) - avg(len_base), 6) as len_delta, round_even(avg(overlap_base), 6) as overlap_base, round_even(avg(overlap_tuned), 6) as overlap_tuned, round_even(avg(overlap_tuned) - avg(overlap_base), 6) as lift, round_even(100 * (avg(overlap_tuned) - avg(overlap_base)) / greatest(0.0001, avg(overlap_base)), 4) as lift_pct, sum(art_base)::bigint as art_base, sum(art_tuned)::bigint as art_tuned, (sum(art_tuned) - sum(art_base))::bigint as art_delta from c")
 def grand_macro(spark, sf):
-    """Macro average of the comparison."""
-    return summary.grand_macro(_arms(spark, sf), "overlap", "base_q4", "tuned_q4")
+    """Macro average of the comparison, sums of artifacts and what the tuned run gains."""
+    return summary.grand_macro(_arms(spark, sf))
 
 
 # ---- text functions ------------------------------------------------------------------------
-def s_clean(x: str) -> str:
-    for t in tx.CHAT_TOKENS:
-        x = f"replace({x}, '{t}', '')"
-    return s_strip(x)
-
-
 @query(f"with t as (select row_id, {s_clean('response')} as s from response where response is not null) select row_id, len(regexp_extract_all(s, '[a-zA-Z]{{4,}}')) as english_fragment, len(regexp_extract_all(s, '`[^`]*`')) as backtick, len(regexp_extract_all(s, '(?i)</?(?:em|p|br|span|div)>')) as html_tag, regexp_matches(s, '^(?:{WS}|[.?…」、,「!！？])+$')::int as placeholder_only from t")
 def artifact_counts(spark, sf):
     """Artifacts of generation in each response."""
@@ -477,11 +505,12 @@ def file_errors(spark, sf):
     return validate.file_errors(t)
 
 
-@query("select (select count(*) from response where task is not null) as parts, (select count(*) from response) as master, true as ok")
+@query("with i as (select id from compassion_synth_v06 union select id from family_v03_additions union select id from keigo_synth_v06 union select id from silence), c as (select (select count(*) from response where task is not null) as parts, (select count(*) from response where id in (select id from i)) as master) select *, parts = master as ok from c")
 def total_check(spark, sf):
-    """Rows of the tasks together against all rows."""
+    """Rows of the tasks together against the rows that answer an item."""
     t = table(spark, sf, "response")
-    return validate.total_check(t, t, "task")
+    ids = [table(spark, sf, n).select("id") for n in ("compassion_synth_v06", "family_v03_additions", "keigo_synth_v06", "silence")]
+    return validate.total_check(t, t.join(ids[0].union(ids[1]).union(ids[2]).union(ids[3]), "id", "left_semi"), "task")
 
 
 # ---- construction --------------------------------------------------------------------------
@@ -586,12 +615,11 @@ def total_rollup(spark, sf):
     return summary.totals(table(spark, sf, "documents"), ["source", "lang"])
 
 
-@query("select variant, task, count(*) as n from response group by all having count(*) < 400")
+@query("select id from (select distinct id from compassion_synth_v06) where id not in (select id from response where task = 'compassion' and response <> '' and id is not null group by id having count(*) >= 3)")
 def not_done(spark, sf):
-    """Variants and tasks with too few rows to be finished."""
-    t = table(spark, sf, "response").select(F.concat_ws("\x1f", "variant", "task").alias("k"), "variant", "task")
-    rest = cs.not_done(t, t, "k", 400)
-    return rest.groupBy("variant", "task").agg(F.count("*").alias("n"))
+    """Compassion items that have not been answered three times."""
+    done = table(spark, sf, "response").where("task = 'compassion' and response <> ''")
+    return cs.not_done(table(spark, sf, "compassion_synth_v06").select("id").distinct(), done, "id", 3)
 
 
 # ---- generation and judging ----------------------------------------------------------------
@@ -628,6 +656,43 @@ def judge_stub(spark, sf):
     return judge.judge_summary(judge.judged(p, "prompt"), "task")
 
 
+def _attempt_log(spark, sf):
+    """Raw lines of item files as a log of attempts: a feed's files are its seeds, a line in three
+    another cycle, and lines of one file further tries."""
+    t = table(spark, sf, "raw_records").where("file_seq is not null and line_no is not null").groupBy("feed", "file_seq", "line_no").agg(F.max("raw_json").alias("response"))
+    return t.select("feed", (F.col("line_no") % 3).alias("cycle"), F.concat_ws("/", "feed", F.format_string("%06d", "file_seq")).alias("seed_ord"), F.floor(F.col("line_no") / 3).alias("retry"), F.col("feed").alias("seed_id"), "response")
+
+
+@query()
+def replay_generation(spark, sf):
+    """The accept loop over the attempt log: every object of the attempts made, with its outcome."""
+    return generate.accept_loop(_attempt_log(spark, sf), 100_000)
+
+
+@query()
+def generation_metrics(spark, sf):
+    """Outcomes of the attempts made."""
+    return generate.run_metrics(generate.accept_loop(_attempt_log(spark, sf), 100_000))
+
+
+J_WRONG = lambda k: f"json_type(j, '$.{k}') <> 'ARRAY'"
+J_N = lambda k: f"json_array_length(j, '$.{k}')"
+J_SHAPE = lambda k: f"len(list_filter(json_extract(j, '$.{k}[*]'), lambda e: json_type(e) <> 'VARCHAR' or length(e ->> '$') not between 2 and 100)) > 0"
+J_GONE = "array_to_string(list_filter([" + ", ".join(f"case when not json_exists(j, '$.{k}') then '{k}' end" for k, _ in REQ) + "], lambda x: x is not null), ',')"
+J_TEXT = lambda k: f"json_type(j, '$.{k}') = 'VARCHAR'"
+J_LEN = lambda k: f"length(j ->> '$.{k}')"
+J_REASON = f"""case when json_type(j) <> 'OBJECT' then 'not-a-dict' when {J_GONE} <> '' then 'missing:' || {J_GONE} when {J_WRONG('expected_qualities')} then 'eq-not-list' when {J_WRONG('anti_patterns')} then 'ap-not-list'
+    when {J_N('expected_qualities')} not between 2 and 6 then 'eq-len:' || {J_N('expected_qualities')} when {J_N('anti_patterns')} not between 2 and 6 then 'ap-len:' || {J_N('anti_patterns')} when {J_SHAPE('expected_qualities')} then 'eq-item-shape' when {J_SHAPE('anti_patterns')} then 'ap-item-shape'
+    when not {J_TEXT('ideal_response_example')} then 'ire-len:N/A' when {J_LEN('ideal_response_example')} not between 5 and 500 then 'ire-len:' || {J_LEN('ideal_response_example')} when not {J_TEXT('context')} or {J_LEN('context')} < 5 then 'ctx-too-short' else 'ok' end"""
+
+
+@query(f"with t as (select try_cast(raw_json as json) as j from raw_records where raw_json is not null and trim(raw_json) <> '' and json_valid(raw_json)), r as (select {J_REASON} as reason, json_type(j) = 'OBJECT' and {J_GONE} = '' and not {J_WRONG('expected_qualities')} and not {J_WRONG('anti_patterns')} and {J_N('expected_qualities')} >= 2 and {J_N('anti_patterns')} >= 2 and {J_TEXT('ideal_response_example')} and {J_LEN('ideal_response_example')} between 5 and 500 as older from t where json_type(j) = 'OBJECT') select reason, count(*) as n, count_if(older)::bigint as valid_v1 from r group by reason")
+def raw_item_reasons(spark, sf):
+    """Why raw items, whose fields have any type, are not valid, and how many the older rule takes."""
+    lines = table(spark, sf, "raw_records").select(F.col("raw_json").alias("line")).where("line is not null")
+    return validate.line_reasons(lines, "line", firewall=()).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"), F.count_if("valid_v1").alias("valid_v1"))
+
+
 @query()
 def parse_response(spark, sf):
     """Objects in raw lines of generated JSON, cut-off ones rescued."""
