@@ -1,6 +1,8 @@
 import unicodedata
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tsumugi.llm import lookalikes as la
 
@@ -15,6 +17,25 @@ def test_not_alike(a, b):
     assert la.consistent(a) != la.consistent(b)
 
 
+@pytest.mark.parametrize("text", ["一人で三千円", "力を入れる", "2026-11-26", "well-known", "もう一人の工場長", "人口データ", "八ヶ岳と三ツ星", "入口へ行く", "ビール二杯", "千円札を八枚", "アメリカ人", "コーヒー豆", "カニを食べる", "サーバー管理", "東京―大阪", "――そう", "らーめん屋", "えー、", "вода", "ελληνικά", "co-op", "唯一の", "第二回", "ニュースとミルク", "~/home"])
+def test_right_text_is_not_changed(text):
+    assert la.consistent(text) == text
+
+
+@pytest.mark.parametrize("a, b", [("コーヒー", "コ一ヒ─"), ("アメリカ", "アメリ力"), ("エラーとロープ", "工ラーと口一プ"), ("タオル", "夕オル"), ("ヘリコプター", "へリコプター"), ("вода", "вoдa"), ("Wi-Fi", "Wi‐Fi"), ("一人", "ー人"), ("力仕事", "カ仕事"), ("３－２", "3-2"), ("ニュース", "二ュース"), ("\u1ec7", "e\u0302\u0323"), ("e\u0302\u0323", "e\u0323\u0302"), ("が", "か\u200b\u3099")])
+def test_context_tells(a, b):
+    assert a != b and la.consistent(a) == la.consistent(b)
+
+
+@given(st.text(st.sampled_from("aeoかハウカ力一ー-―二\u0301\u0302\u0323\u3099\u309a\u200dｶﾞがйА"), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_canonically_equal_texts_meet(text):
+    forms = {la.consistent(unicodedata.normalize(f, text)) for f in ("NFC", "NFD")} | {la.consistent(text)}
+    assert len(forms) == 1
+    form = forms.pop()
+    assert la.consistent(form) == form
+
+
 def test_closed_and_one_pass():
     for a in list(la.compile_map()) + ["が" * 9, "", "x"]:
         form = la.consistent(a)

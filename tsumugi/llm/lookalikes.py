@@ -1,12 +1,16 @@
 """Visually identical text with different characters: one consistent form.
 
-A transducer is compiled once from rules and a short list of fixed values: it maps grapheme
-clusters (a character with its marks) to their consistent form, longest match first, in one
-pass over the text. The compiler rejects contradictory rules and maps that are not closed
-(the form of a form must be itself).
-
-Widths, composed and decomposed marks, compatibility radicals, kinds of space and dash and
-letters of other scripts that are drawn alike get one form; invisible characters vanish.
+A transducer is compiled once from rules: it maps grapheme clusters (a character with its marks,
+and what is hidden between them) to their consistent form, marks in canonical order, longest match
+first, in one pass over the text. The compiler rejects contradictory rules and maps that are not
+closed (the form of a form must be itself). Widths, composed and decomposed marks, compatibility
+radicals and kinds of space get one form; invisible characters vanish.
+
+Letters drawn alike in several scripts have no form of their own: what stands around them tells,
+never which of them was written, so texts that look alike meet and words keep their script. A run
+of such letters is read by the nearest letters on either side that are not drawn like others
+(kana beside kana, a kanji beside kanji, a Latin letter in a Latin word, a hyphen between Latin
+letters and digits).
 """
 
 from __future__ import annotations
@@ -17,10 +21,12 @@ import sys
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsumugi.operators.joins import spread_join
+
 # Letters of other scripts drawn like a Latin letter, and the Latin letter.
 LATIN_ALIKE = {
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
@@ -29,8 +35,15 @@ LATIN_ALIKE = {
     "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x", "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m", "ı": "i", "ɡ": "g", "ɑ": "a", "K": "K", "Å": "Å",
 }
 # Kanji, hiragana and strokes drawn like a katakana letter, and the katakana letter.
-KANA_ALIKE = {"力": "カ", "口": "ロ", "囗": "ロ", "二": "ニ", "八": "ハ", "夕": "タ", "工": "エ", "卜": "ト", "丿": "ノ", "才": "オ", "三": "ミ", "千": "チ", "へ": "ヘ", "べ": "ベ", "ぺ": "ペ", "一": "ー", "㇐": "ー", "丨": "｜"}
-DASHES_ALSO = "─━‒⁃˗﹘﹣−➖"
+KANA_ALIKE = {"力": "カ", "口": "ロ", "囗": "ロ", "二": "ニ", "八": "ハ", "夕": "タ", "工": "エ", "卜": "ト", "丿": "ノ", "才": "オ", "三": "ミ", "千": "チ", "へ": "ヘ", "べ": "ベ", "ぺ": "ペ"}
+# Of these, the numerals, and those that end words of kanji.
+NUMERALS, ENDINGS = "二三八千", "力口"
+# Katakana that follow a kanji numeral (三ツ星, 八ヶ岳).
+COUNTERS = "ヶヵツノケ"
+# Signs drawn as one level stroke that are no dash by their category.
+DASHES_ALSO = "─━⁃˗﹣−➖"
+STROKES = "ー一"
+WAVES = "〜~"
 INVISIBLE_ALSO = "ᅟᅠㅤﾠ͏឴឵"
 ZWJ = "‍"
 
@@ -48,11 +61,11 @@ def _rules():
             yield ch, ""
         elif kind == "Zs" and ch not in INVISIBLE_ALSO:
             yield ch, " "
-        elif kind == "Pd" or ch in DASHES_ALSO:
-            if ch not in "〜〰゠":
-                yield ch, "ー"
-        elif ch in "〜～":
-            yield ch, "~"
+        elif (kind == "Pd" and ch not in "〜〰゠") or ch in DASHES_ALSO:
+            if ch != "-":
+                yield ch, "―" if ch not in "‐‑－﹣﹘" else "-"
+        elif ch in "㇐丨～":
+            yield ch, {"㇐": "一", "丨": "｜", "～": "〜"}[ch]
         else:
             how = unicodedata.decomposition(ch)
             if how.startswith(("<wide>", "<narrow>", "<font>")) or 0x2E80 <= i <= 0x2FDF or 0xF900 <= i <= 0xFAFF or 0x2F800 <= i <= 0x2FA1F:
@@ -69,6 +82,13 @@ def _rules():
                         yield voiced, ch
                 elif whole != ch:
                     yield ch, whole
+    # a sound mark makes a katakana of what is drawn like one
+    for a, b in KANA_ALIKE.items():
+        for mark, half in (("゙", "ﾞ"), ("゚", "ﾟ")):
+            whole = unicodedata.normalize("NFC", b + mark)
+            if len(whole) == 1 and a not in "へべぺ":
+                yield a + mark, whole
+                yield a + half, whole
     # a lone mark of half width, and half-width letters with either mark
     for i in range(0xFF66, 0xFF9E):
         full = unicodedata.normalize("NFKC", chr(i))
@@ -77,18 +97,13 @@ def _rules():
             if len(whole) == 1:
                 yield chr(i) + half, whole
                 yield chr(i) + mark, whole
-    yield from LATIN_ALIKE.items()
-    yield from KANA_ALIKE.items()
 
 
 @functools.cache
 def compile_map() -> dict[str, str]:
     """The checked map from clusters to closed forms."""
     table: dict[str, str] = {}
-    strong = LATIN_ALIKE | KANA_ALIKE
     for a, b in _rules():
-        if a in strong and b != strong[a]:
-            continue  # drawn alike beats an equivalence
         if table.setdefault(a, b) != b and unicodedata.normalize("NFKC", table[a]) != unicodedata.normalize("NFKC", b):
             raise Conflict(f"{a!r}: {table[a]!r} and {b!r}")
     variants: dict[str, list[str]] = {}
@@ -122,37 +137,125 @@ def _ranges(points: set[int]) -> str:
 
 
 @functools.cache
-def transducer() -> tuple[re.Pattern, re.Pattern, re.Pattern, dict[str, str], dict[int, str]]:
-    """Patterns of what is hidden (with and without joiners) and of grapheme clusters, and the
-    map of clusters and of single characters."""
+def transducer() -> tuple[re.Pattern, dict[str, str], dict[int, str], re.Pattern]:
+    """The pattern of clusters that need the map, the map of clusters and of single characters,
+    and what is hidden."""
     table = compile_map()
-    invisible = _ranges({ord(a) for a, b in table.items() if b == "" and len(a) == 1})
+    hidden = _ranges({ord(a) for a, b in table.items() if b == "" and len(a) == 1} | {ord(ZWJ)})
+    marks = _ranges({i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))} | {ord(x) for a in table for x in a[1:]})
     # a joiner shows only between pictographs: those sequences stay as they are
     picto = "[\U0001f000-\U0001faff☀-➿]"
-    joined = re.compile(f"(?P<keep>{picto}[\ufe0e\ufe0f]?(?:{ZWJ}{picto}[\ufe0e\ufe0f]?)+)|[{invisible}{ZWJ}]+")
-    marks = _ranges({ord(x) for a in table for x in a[1:]})
-    return joined, re.compile(f"[{invisible}]+"), re.compile(f"[^{marks}][{marks}]+", re.S), table, {ord(a): b for a, b in table.items() if len(a) == 1 and b}
+    joined = f"(?P<keep>{picto}[\ufe0e\ufe0f]?(?:{ZWJ}{picto}[\ufe0e\ufe0f]?)+)"
+    return re.compile(f"{joined}|(?:[^{marks}{hidden}][{hidden}]*)?[{marks}][{marks}{hidden}]*|[{hidden}]+", re.S), table, {ord(a): b for a, b in table.items() if len(a) == 1 and b}, re.compile(f"[{hidden}]+")
 
 
 def _cluster(m: re.Match) -> str:
-    """The longest known start of a cluster gets its form; the marks left over stay."""
-    table = transducer()[3]
-    whole = m[0]
+    """The longest known start of a cluster, its marks in canonical order, gets its form; the
+    marks left over stay."""
+    if m["keep"]:
+        return m[0]
+    _, table, single, hidden = transducer()
+    whole = unicodedata.normalize("NFC", hidden.sub("", m[0]).replace("ﾞ", "\u3099").replace("ﾟ", "\u309a"))
     for n in range(len(whole), 1, -1):
         if (to := table.get(whole[:n])) is not None:
-            return to + whole[n:]
-    return whole
+            return unicodedata.normalize("NFC", to + whole[n:])
+    return unicodedata.normalize("NFC", whole.translate(single))
+
+
+KATA = {b: a for a, b in KANA_ALIKE.items() if a != "囗"}  # katakana -> what it is drawn like
+CYRILLIC = {b: a for a, b in LATIN_ALIKE.items() if "\u0400" <= a <= "\u04ff"}
+GREEK = {b: a for a, b in LATIN_ALIKE.items() if "\u0370" <= a <= "\u03ff"}
+ALIKE = "".join(KANA_ALIKE) + "".join(KATA)
+LEVEL = STROKES + "-―"
+RUNS = re.compile(f"[{re.escape(ALIKE + LEVEL)}]+|[{WAVES}]+")
+WORDS = re.compile("[^\\W\\d_ぁ-ヿ一-鿿]+")
+
+
+def _kind(ch: str) -> str:
+    """k: katakana drawn like nothing else, h: hiragana, j: kanji, a: Latin letter or digit."""
+    if not ch:
+        return ""
+    if "ァ" <= ch <= "ヺ":
+        return "k"
+    if "ぁ" <= ch <= "ゖ":
+        return "h"
+    if "一" <= ch <= "鿿" or ch in "々〆":
+        return "j"
+    return "a" if ch.isascii() and ch.isalnum() else ""
+
+
+def _word(m: re.Match) -> str:
+    """A word in one script, that of its letters which are drawn like no other."""
+    word = m[0]
+    if word.isascii() or not any(x in LATIN_ALIKE for x in word):
+        own = {unicodedata.name(x, "?").split()[0] for x in word if not x.isascii()}
+        if not own & {"CYRILLIC", "GREEK"}:
+            return word
+    plain = {unicodedata.name(x, "?").split()[0] for x in word if x not in LATIN_ALIKE and x not in CYRILLIC and x not in GREEK}
+    if "LATIN" in plain or not plain & {"CYRILLIC", "GREEK"}:
+        return "".join(LATIN_ALIKE.get(x, x) for x in word)
+    back = CYRILLIC if "CYRILLIC" in plain else GREEK
+    return "".join(back.get(LATIN_ALIKE.get(x, x), x) for x in word)
+
+
+def _run(m: re.Match) -> str:
+    """A run of letters and strokes drawn alike, read by what stands on either side."""
+    run, text = m[0], m.string
+    left, right, after = (text[i : i + 1] if i >= 0 else "" for i in (m.start() - 1, m.end(), m.end() + 1))
+    lk, rk = _kind(left), _kind(right)
+    if run[0] in WAVES:
+        return ("~" if "a" in (lk, rk) or (left + right).isascii() and left + right else "〜") * len(run)
+    own = [KATA.get(x, x) for x in run if x in ALIKE]
+    own = ["口" if x == "囗" else x for x in own]
+    left_k, right_k = lk == "k", rk == "k" and not (right in COUNTERS and _kind(after) != "k")
+    if not own:
+        kana = False
+    elif all(x in NUMERALS for x in own):
+        kana = (left_k and rk != "j") or (right_k and lk != "j")
+    elif lk == "j":
+        kana = right_k and own[0] not in ENDINGS + NUMERALS
+    else:
+        kana = left_k or right_k or (len(own) > 1 and own[0] not in NUMERALS and not all(x in "へべぺ" for x in own))
+    out: list[str] = []
+    letters_ = [("口" if x == "囗" else KATA.get(x, x)) if x in ALIKE else None for x in run]
+    shown = [(KANA_ALIKE[x] if kana else x) if x else None for x in letters_]
+    for i, x in enumerate(shown):
+        if x is not None:
+            out.append(x)
+            continue
+        a = i - 1
+        while a >= 0 and shown[a] is None:
+            a -= 1
+        b = i + 1
+        while b < len(shown) and shown[b] is None:
+            b += 1
+        before = _kind(shown[a]) if a >= 0 else lk
+        behind = _kind(shown[b]) if b < len(shown) else rk
+        several = b - a > 2  # two strokes and more are a dash
+        letter = run[i] in STROKES
+        if before == "k" or (before == "h" and behind != "j"):
+            out.append("-" if behind == "a" and not letter else "―" if several and not letter else "ー")
+        elif "a" in (before, behind):
+            out.append("-")
+        elif letter and (run[i] == "一" or before or behind):
+            out.append("一")
+        else:
+            out.append("―")
+    return "".join(out)
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null, empty stays empty."""
     if not text:
         return text
-    joined, hidden, clusters, _, single = transducer()
+    clusters, _, single, _ = transducer()
     if not text.isascii():
-        text = joined.sub(lambda m: m["keep"] or "", text) if ZWJ in text else hidden.sub("", text)
-        text = clusters.sub(_cluster, text)
-    return text.translate(single)
+        text = clusters.sub(_cluster, text).translate(single)
+        if (words := WORDS.sub(_word, text)) != text:
+            text = unicodedata.normalize("NFC", words)
+    elif not ("-" in text or "~" in text):
+        return text
+    return RUNS.sub(_run, text)
 
 
 @F.pandas_udf(T.StringType())
@@ -182,9 +285,12 @@ def alike_pairs(df: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     held = df.select(k.alias("k"), cells.alias("c")).where("k is not null and c.text is not null").select("k", "c.field", "c.text").distinct()
     texts = held.select("field", "text").distinct().withColumn("form", consistent_form("text"))
     hashed = texts.select("field", F.xxhash64("form").alias("f1"), F.hash("form").alias("f2"), F.sha2("text", 256).alias("t"))
-    # only forms with several strings go on
-    several = hashed.groupBy("field", "f1", "f2").agg(F.collect_set("t").alias("ts")).where("size(ts) > 1")
-    pairs = several.select("field", F.explode("ts").alias("t"), "ts").select("field", "t", F.explode("ts").alias("u")).where("t <> u")
+    # only forms with several strings go on; each string meets the others of its form in a join
+    # of its own parts, so no row holds a form's strings
+    form = ["field", "f1", "f2"]
+    several = hashed.groupBy(*form).agg(F.count("*").alias("n")).where("n > 1").select(*form)
+    strings = hashed.join(several, form, "left_semi")
+    pairs = spread_join(strings.withColumn("form", F.concat_ws("/", *form)), strings.select(F.concat_ws("/", *form).alias("form"), F.col("t").alias("u")), "form").where("t <> u").select("field", "t", "u")
     members = held.select("field", "k", F.sha2("text", 256).alias("t"))
     left = pairs.join(members, ["field", "t"]).select("field", "u", F.col("k").alias("a"))
     both = left.join(members.select("field", F.col("t").alias("u"), F.col("k").alias("b")), ["field", "u"])
@@ -199,8 +305,3 @@ def classes(df: DataFrame, field: str, key: str = "id") -> DataFrame:
     rows = rows.withColumn("class_id", F.sha2(consistent_form("text"), 256))
     sizes = rows.groupBy("class_id").agg(F.countDistinct("text").alias("n_strings"), F.count("*").alias("n_rows"))
     return rows.join(sizes, "class_id").select("key", "class_id", "n_strings", "n_rows")
-
-
-def marks_column(c: Column) -> Column:
-    """Whether a text would change under :func:`consistent` (a Catalyst pre-test for ASCII)."""
-    return c.rlike(r"[^\x00-\x7f]") | c.contains("-")
