@@ -1,3 +1,5 @@
+import pytest
+
 from tsumugi.llm import pairs
 
 PROMPT = "昨日、母の手袋をまた駅で落としてしまいました。探す気にもなれません。"
@@ -51,3 +53,18 @@ def test_endings_counts_by_brute_force():
 def test_copied_pairs(spark):
     r = spark.createDataFrame([(1, "a", PROMPT), (2, "a", "はい。"), (3, "a", None)], "row_id long, id string, response string")
     assert [x.row_id for x in pairs.copied_pairs(r, spark.createDataFrame([("a", PROMPT)], "id string, prompt string")).collect()] == [1]
+
+
+@pytest.mark.parametrize("text", ["その件には触れられません", "それは話したくありません", "ノーコメントでお願いします", "その質問はちょっと無理です", "お返しできる言葉がありません", "私の口からは言えません", "この内容は規約違反のため出力をブロックしました", "恐れ入ります。そのご質問にはお答えいたしかねます。"])
+def test_refusals_in_other_words(text):
+    assert pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text", ["無理しなくていいですよ。", "うまく言えませんが、そばにいます。", "そのお気持ち、すぐには消せませんよね。", "それは無理もないことです。", "話せませんか？", "何も言えませんね。", "言葉にできないほどですね。"])
+def test_answers_that_are_no_refusal(text):
+    assert not pairs.is_refusal(text)
+
+
+def test_language_of_kanji():
+    assert not any(map(pairs.is_foreign, ["明日会議", "会場変更", "対応完了", "大丈夫", "OK", "了解", "一期一会"]))
+    assert all(map(pairs.is_foreign, ["今日天气很好。", "我很喜欢吃苹果", "請你保重身體", "没关系，慢慢来", "I am so sorry to hear that."]))

@@ -2,8 +2,8 @@ import pytest
 
 from tsumugi.llm import residue
 
-YES = ["{{name}}さん、お元気ですか。", "次回は%sに伺います。", "次回は%USER_NAME%に", "［名前を入力］", "【続柄】さまへ", "（日付を記入）", "<your text here>", "__SITUATION__", "${answer}", "<%= x %>", "[[宛名]]", "@@a.b@@", "Lorem ipsum dolor", "ダミーテキストです。", "ここに本文が入ります。", "TODO: 回答を書く", "404 Not Found", "Internal Server Error (code 12)", "お探しのページは見つかりませんでした。", "エラーが発生しました（エラー番号：3）。", "JavaScriptを有効にしてください。", "Please enable JavaScript to continue.", "お使いのブラウザではスクリプトが無効になっています。", "Java​Scriptを有効に", "<html><body>x</body></html>", "Traceback (most recent call last): KeyError 4"]
-NO = [None, "", "ページが見つからないの？しおりは本の下だよ。", "エラーの出た時計は兄が直すね。", "404号室の林さんにも届けようか。", "宿題のスクリプト、机に置いたよ。", "名前を書く欄は一緒に埋めようね。", "林の【大事】な帽子、見つけたよ。", "返事はいつでも大丈夫（笑）", "ページは破らずに残しておきましょう。", "入力エラーの件は確認しております。", "100%大丈夫です", "I < 3 you"]
+YES = ["{{name}}さん、お元気ですか。", "次回は%sに伺います。", "次回は%USER_NAME%に", "［名前を入力］", "【続柄】さまへ", "（日付を記入）", "<your text here>", "__SITUATION__", "${answer}", "<%= x %>", "[[宛名]]", "@@a.b@@", "Lorem ipsum dolor", "ダミーテキストです。", "ここに本文が入ります。", "TODO: 回答を書く", "404 Not Found", "Internal Server Error (code 12)", "お探しのページは見つかりませんでした。", "エラーが発生しました（エラー番号：3）。", "JavaScriptを有効にしてください。", "Please enable JavaScript to continue.", "お使いのブラウザではスクリプトが無効になっています。", "Java​Scriptを有効に", "<html><body>x</body></html>", "Traceback (most recent call last): KeyError 4", "[FIRST_NAME]さん、こんにちは", "<<NAME>>さん", "（相手の名前）さんへ", "＿＿＿さん", "XXX様", "Please turn JavaScript on.", "Cookies are blocked", "□□様のご意見"]
+NO = [None, "", "ページが見つからないの？しおりは本の下だよ。", "エラーの出た時計は兄が直すね。", "404号室の林さんにも届けようか。", "宿題のスクリプト、机に置いたよ。", "名前を書く欄は一緒に埋めようね。", "林の【大事】な帽子、見つけたよ。", "返事はいつでも大丈夫（笑）", "ページは破らずに残しておきましょう。", "入力エラーの件は確認しております。", "100%大丈夫です", "I < 3 you", "エラーが発生しました、と言われて困ったね。", "スクリプトが必要な舞台だね", "「ページが見つかりません」って出たら焦るよね。", "サーバーが混んでいるのかな", "[大事]な話", "(笑)さん"]
 
 
 @pytest.mark.parametrize("text", YES)

@@ -41,6 +41,11 @@ COURTESIES = tuple("すみません。 ごめんなさい。 申し訳ありま
 DECLINED = re.compile(r"答え|回答|返答|返事|コメント|言及|助言|アドバイス|手伝い|対応|応じ|相談|要望|依頼|提供|質問|内容|話題|申し上げ|力になれ|役に立て|取り扱")
 DECLINING = re.compile(r"(?:答え|応じ|応え|提供|対応|回答|返答|手伝い|説明|助言)(?:することは|ることは|は)?(?:でき(?:ません|ない|かねます)|られません|られない|いたしかねます|しかねます|致しかねます)|できかねます|(?:いた|致)?しかねます|(?:差し)?控え(?:ます|させて|て(?:いただ|おり))|辞退|遠慮(?:させて|いたし|します|して(?:いただ|おり))|受け(?:付け)?(?:ておりません|しておりません|していません|ない|られません)|お受けできません|立場に(?:は)?(?:ありません|ない)|範囲(?:外|を超え)|対象外|行えない|省略(?:します|させて|いたします)|力になれ(?:ません|ない)|役に立て(?:ません|ない)|申し上げられません|ここで終わります|お断り")
 # Words that open an answer in another language without making it Japanese.
+# Acts of speaking, and endings that say one cannot or will not.
+SPEAKING = re.compile(r"言[えうわい]|話[しせさす題]|語[れりる]|触れ|述べ|伝え|教え|説明|お返し|返せ|口から|ノーコメント|出力|生成|質問|内容|その件|この件|要望|依頼")
+UNABLE = re.compile(r"(?:[えけせてねべめげれ]ません|(?:し|話し|言い|答え)たくありません|(?:し|話し|言い|答え)たくない(?:です)?|無理です|ノーコメント(?:です|でお願いします|とさせてください)|(?:ブロック|遮断|制限|拒否)(?:しました|されました|されています|いたしました)|許可されて(?:い|お)りません|許可されていません|言葉が(?:ありません|ございません)|違反(?:します|となります|に当たります))$")
+#: A sentence longer than this says more than that it declines.
+SHORT_REFUSAL = 36
 TERMINAL, OPENING = "。.!?！？", re.compile(r"^[^。.!?、,\n]{0,12}[。.!?、,:\s]+")
 DECORATION = re.compile(r"(?:\((?:笑|泣|汗|涙)\)|[^\w「『(（\[【、,]|_)+$")
 JAPANESE, LETTER = re.compile(r"[ぁ-ゖァ-ヺ]"), re.compile(r"[^\W\d_]")
@@ -76,7 +81,8 @@ def is_refusal(text: str) -> bool:
         if not s:
             continue
         last = CLAUSE.split(part)[-1]  # a sentence that declines and goes on gives something
-        if (DECLINING.search(last) and DECLINED.search(part)) or _aligned(s, REFUSALS):
+        short = len(s) <= SHORT_REFUSAL and "?" not in part
+        if _aligned(s, REFUSALS) or (DECLINING.search(last) and DECLINED.search(part)) or (short and UNABLE.search(letters(last)) and SPEAKING.search(last)):
             declines = True
         elif not _aligned(s, COURTESIES):
             return False
@@ -97,14 +103,25 @@ def is_copy(response: str, prompt: str | None) -> bool:
     return k >= COPY_OF_PROMPT * len(b) and k >= COPY_OF_RESPONSE * len(a)
 
 
-CHINESE = re.compile("[的了这那们吗呢你您她它什么没还说让给对过会谢請请這個們嗎妳說讓給過會謝會聽裡裏慢着著]")
+# Chinese function words that Japanese does not write.
+CHINESE = re.compile("[你您妳她它们們这這吗嗎呢吧啊很么麼没说說让讓给请請谢]")
+
+
+@functools.cache
+def _japanese_kanji(ch: str) -> bool:
+    """Whether the common character set of Japanese holds it: simplified forms are not in it."""
+    try:
+        ch.encode("shift_jis")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 def is_foreign(text: str) -> bool:
     """Whether no Japanese stands in ``text`` beyond an opening word.
 
-    Japanese shows by kana, or by kanji alone without signs of Chinese. A few letters in Latin
-    (a loanword such as OK) make no foreign text.
+    Japanese shows by kana, or by kanji alone, all of the Japanese character set and without
+    function words of Chinese. A few letters in Latin (a loanword such as OK) make no foreign text.
     """
     for body in (text, OPENING.sub("", text, count=1)):
         found = LETTER.findall(body)
@@ -113,9 +130,9 @@ def is_foreign(text: str) -> bool:
         if JAPANESE.search(body):
             if len(JAPANESE.findall(body)) > 0.04 * len(found):
                 continue
-        han = sum("一" <= x <= "鿿" for x in found)
-        if han >= 0.5 * len(found):
-            if len(CHINESE.findall(body)) >= 1 and han >= 4:
+        han = [x for x in found if "一" <= x <= "鿿"]
+        if len(han) >= 0.5 * len(found):
+            if len(han) >= 4 and (CHINESE.search(body) or not all(map(_japanese_kanji, han))):
                 return True
         elif len(found) >= 8 and (len(body.split()) >= 2 or not body.isascii()):
             return True

@@ -58,7 +58,8 @@ ERRORS = [
 ]
 # Phrases of notices that scripts or cookies are needed.
 SCRIPTS = [
-    r"(?:enable|turn\s+on|activate|requires?|needs?)\s+(?:java\s*scripts?|scripts?|cookies?)|java\s*scripts?\s+(?:is\s+)?(?:disabled|required|enabled|must)",
+    r"turn\s+(?:java\s*scripts?|cookies?)\s+(?:back\s+)?on|(?:java\s*scripts?|cookies?)\s+(?:(?:is|are)\s+)?(?:not\s+(?:enabled|supported|available)|turned\s+off|blocked)",
+    r"(?:enable|turn\s+on|activate|allow|requires?|needs?)\s+(?:java\s*scripts?|scripts?|cookies?)|java\s*scripts?\s+(?:is\s+)?(?:disabled|required|enabled|must)",
     r"(?:java\s*script|ジャバスクリプト|スクリプト|cookie|クッキー)(?:s|など|等)?(?:を|が|は|の設定を?)(?:有効|無効|オン|オフ|許可|使用でき|必要|設定)",
     r"(?:java\s*script|ジャバスクリプト|スクリプト)の設定が必要",
     r"(?:cookie|クッキー)と(?:java\s*script|ジャバスクリプト)",
@@ -66,6 +67,10 @@ SCRIPTS = [
 WRAPPERS = [r"<\s*/?\s*(?:html|body|head|h1|title)\s*>", r"<!doctype\b"]
 #: A notice: a system noun, then a verb of systems in polite form. Weak alone.
 NOTICE = re.compile(r"(?:ページ|サイト|サーバー?|ブラウザ|アカウント|パスワード|セッション|画面|通信|ネットワーク|データベース|ファイル|フォーム|システム|リンク|アプリ)(?:が|は|を|の|に|で).{0,24}(?:できません|ませんでした|されました|されています|失敗しました|してください|必要です|中です|できない状態です)")
+#: How a sentence goes on that reports a message or speaks of one: no message itself.
+SPOKEN = re.compile(r"[^。!?\n]{0,12}?(?:[」』]?[、,]?\s*(?:と|って)(?:言|いう|いわ|いっ|聞|書|思|怒|困|出[てたる]|なっ|表示され[てた]|の表示)|[なの](?:舞台|話|場面|とき|時|人)[^。!?\n]{0,12}|(?:だ|だよ|よ|の|か)?(?:ね|かな|なあ|かも)(?=[。!?\n、]|$))")
+#: Of the detectors, those of messages.
+MESSAGES = (2, 3)
 WORDS = re.compile(r"[一-鿿]{2,}|[゠-ヿ]{2,}|[a-z]{3,}")
 HIDDEN = re.compile("[\u00ad\u061c\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff\U000e0000-\U000e01ef]+")
 SENTENCES = re.compile(r"(?<=[。!?\n])")
@@ -88,13 +93,16 @@ def strong() -> list[tuple[tuple[str, ...], re.Pattern]]:
         rf"\{{(?:\d{{0,2}}|{name}|{slot})\}}",
         rf"[<\[【(《〈](?:ここに)?{slot}(?:{fill})?[>\]】》〉]",
         rf"[<\[【(《〈{{][^<>\[\]【】()《》〈〉{{}}]{{0,20}}{fill}[>\]】)》〉}}]",
-        r"<ここに[^<>]{1,20}>",
+        rf"\((?:ここに)?{slot}\)(?=さん|さま|様|氏|殿|くん|ちゃん)",
+        r"<ここに[^<>]{1,20}>|<<\s*[^<>\s][^<>]{0,30}>>",
+        r"\[[a-z]+(?:_[a-z0-9]+)+\]",
+        r"(?<![a-z0-9_])(?:_{3,}|x{3,}|\*{3,}|△{2,}|□{2,}|●{2,})(?=さん|様|氏|殿|くん|ちゃん)",
         r"<\s*(?:your|insert|enter)\s[^<>]{1,40}>|\[\s*(?:your|insert|enter)\s[^\[\]]{1,40}\]",
         r"[○〇◯]{2,}(?=さん|様|氏|市|町|村|県|の|に|を|$)",
     ]
     one = lambda xs: re.compile("|".join(f"(?:{x})" for x in xs), re.M | re.S)
     return [
-        (("{", "<", "[", "【", "《", "〈", "%", "@@", "__", "○○", "〇〇", "◯◯", "入力", "記入", "記載", "挿入", "指定"), one(placeholders)),
+        (("{", "<", "[", "【", "《", "〈", "(", "%", "___", "xxx", "***", "△△", "□□", "●●", "@@", "__", "○○", "〇〇", "◯◯", "入力", "記入", "記載", "挿入", "指定"), one(placeholders)),
         (("ipsum", "dolor", "text", "content", "answer", "response", "ダミー", "サンプル", "テスト", "仮", "入ります", "ここに", "テキストテ", "文章文", "ほげ", "ふが", "ぴよ", "hoge", "foo", "あいうえお", "アイウエオ", "いろはに", "todo", "fixme", "tbd", "差し替え", "asdf", "qwerty"), one(FILLERS)),
         (("ページ", "アクセス", "接続", "リクエスト", "要求", "処理", "エラー", "障害", "例外", "サーバ", "メンテナンス", "セッション", "ログイン", "タイムアウト", "時間をおいて", "管理者", "url", "error", "found", "gateway", "unavailable", "denied", "traceback", "timed out", "connection", "http", "too many", "forbidden", "unauthorized", "bad request"), one(ERRORS)),
         (("script", "スクリプト", "cookie", "クッキー"), one(SCRIPTS)),
@@ -110,12 +118,22 @@ def plain(text: str) -> str:
     return text.lower()
 
 
+def _spoken(text: str, end: int) -> bool:
+    """Whether what ends at ``end`` is spoken of: reported, or said in a casual tone."""
+    return SPOKEN.match(text, end) is not None
+
+
 def has_residue(text: str | None) -> bool:
     """Whether a detector fires; null and empty texts hold no residue."""
     if not text:
         return False
     text = plain(text)
-    return any(any(x in text for x in signs) and pattern.search(text) is not None for signs, pattern in strong())
+    for k, (signs, pattern) in enumerate(strong()):
+        if any(x in text for x in signs):
+            told = k in MESSAGES
+            if any(not told or not _spoken(text, m.end()) for m in pattern.finditer(text)):
+                return True
+    return False
 
 
 def notices(text: str | None) -> list[str]:
