@@ -91,24 +91,26 @@ def _below(path: str, tops: set[str]) -> bool:
     return any(path == t or path.startswith((f"{t}.", f"{t}[]")) for t in tops)
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
+def _settled(changes: list[dict]) -> Iterator[tuple[str, str, str]]:
     """The changes of one file: renames upper paths first, then by name; what they cover goes."""
-    maybe = pdf[pdf["change_kind"] == "renamed"]
-    order = sorted(zip(maybe["field_path"], maybe["new_path"]), key=lambda x: (x[0].count("."), x[0], x[1].count("."), x[1]))
+    maybe = [(x["path"], x["new_path"]) for x in changes if x["change_kind"] == "renamed"]
     old: set[str] = set()
     new: set[str] = set()
-    kept = []
-    for a, b in order:
+    for a, b in sorted(maybe, key=lambda x: (x[0].count("."), x[0], x[1].count("."), x[1])):
         if not _below(a, old) and not _below(b, new):
             old.add(a)
             new.add(b)
-            kept.append((a, "renamed", b))
-    for a, kind in zip(pdf["field_path"], pdf["change_kind"]):
+            yield a, "renamed", b
+    for x in changes:
+        a, kind = x["path"], x["change_kind"]
         if kind == "type_changed" or (kind == "removed" and not _below(a, old)) or (kind == "added" and not _below(a, new)):
-            kept.append((a, kind, ""))
-    out = pd.DataFrame(kept, columns=["field_path", "change_kind", "new_path"])
-    out.insert(0, "file_name", pdf["file_name"].iloc[0])
-    return out
+            yield a, kind, ""
+
+
+def _settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(name, *x) for name, changes in zip(pdf["file_name"], pdf["changes"]) for x in _settled(list(changes))]
+        yield pd.DataFrame(rows, columns=["file_name", "field_path", "change_kind", "new_path"])
 
 
 def changes(lines: DataFrame) -> DataFrame:
@@ -148,18 +150,21 @@ def _with_renames(changed: DataFrame, cells: DataFrame, steps: DataFrame) -> Dat
 
     items = cells.where("item is not null").select("feed", "file_seq", "item").distinct()
     shared = items.join(steps.select("feed", "file_seq", "prev_seq"), ["feed", "file_seq"]).join(items.withColumnRenamed("file_seq", "prev_seq"), ["feed", "prev_seq", "item"]).select("feed", F.col("file_seq").alias("step"), "item")
-    lost = values("removed", "prev_seq").join(shared, ["feed", "step", "item"], "left_semi")
-    gained = values("added", "file_seq").join(shared, ["feed", "step", "item"], "left_semi")
+    # both are used twice: written once
+    lost = cut(values("removed", "prev_seq").join(shared, ["feed", "step", "item"], "left_semi"))
+    gained = cut(values("added", "file_seq").join(shared, ["feed", "step", "item"], "left_semi"))
     equal = lost.join(gained.withColumnRenamed("path", "new_path"), ["feed", "step", "item", "mark"]).groupBy("feed", "step", "path", "new_path").agg(F.count("*").alias("n"))
     n_lost = lost.groupBy("feed", "step", "path").agg(F.count("*").alias("n_lost"))
     n_gained = gained.groupBy("feed", "step", F.col("path").alias("new_path")).agg(F.count("*").alias("n_gained"))
     # equal wherever either is there: as many equal pairs as values on either side
     same = equal.join(n_lost, ["feed", "step", "path"]).join(n_gained, ["feed", "step", "new_path"]).where("n = n_lost and n = n_gained")
-    rows = changed.select("feed", "file_seq", F.col("path").alias("field_path"), "change_kind", F.lit("").alias("new_path"))
-    renames = same.select("feed", F.col("step").alias("file_seq"), F.col("path").alias("field_path"), F.lit("renamed").alias("change_kind"), "new_path")
+    rows = changed.select("feed", "file_seq", "path", "change_kind", F.lit("").alias("new_path"))
+    renames = same.select("feed", F.col("step").alias("file_seq"), "path", F.lit("renamed").alias("change_kind"), "new_path")
     named = rows.unionByName(renames).join(steps.select("feed", "file_seq", "file_name"), ["feed", "file_seq"])
-    # a group has the changed paths of one file
-    return named.groupBy("feed", "file_seq").applyInPandas(_settle, "file_name string, field_path string, change_kind string, new_path string").distinct()
+    # a row has the changed paths of one file; not so few tasks as the bytes suggest, Python reads them
+    tasks = max(8, named.sparkSession.sparkContext.defaultParallelism)
+    by_file = named.repartition(tasks, "feed", "file_seq").groupBy("feed", "file_seq").agg(F.min("file_name").alias("file_name"), F.collect_list(F.struct("path", "change_kind", "new_path")).alias("changes"))
+    return by_file.select("file_name", "changes").mapInPandas(_settle, "file_name string, field_path string, change_kind string, new_path string").distinct()
 
 
 def path_kinds(lines: DataFrame) -> DataFrame:
