@@ -88,6 +88,26 @@ def test_paraphrase_reports_the_answers_own_words(spark):
     assert got[2] == 1 and 0.2 < got[1] < 1
 
 
+def test_planted_paraphrases(spark):
+    rng = random.Random(11)
+    names = ["叔母", "店長", "隣の子", "祖父", "先輩", "看護師", "大家さん", "弟", "班長", "部下"]
+    acts = ["庭の柿を分けてくれて", "古い時計を直しながら", "雨の駅で泣いていて", "味噌汁を温め直して", "返事を書けないまま", "仕事を休みたいと言って", "写真を一枚だけ残して", "夜中に電話をかけてきて"]
+    ends = ["私は何も言えずにいた", "昔のことを少し話した", "窓の外ばかり見ていた", "明日また来ると約束した", "眠れない夜が続いている", "手紙を机にしまい込んだ"]
+    sentence = lambda: "、".join([rng.choice(names) + "が" + rng.choice(acts), rng.choice(names) + "も" + rng.choice(acts), rng.choice(ends) + make(rng, 3)])
+    items = [(f"i{k:03d}", sentence()) for k in range(120)]
+    docs, planted = [(1000 + k, sentence() + "。" + sentence()) for k in range(300)], set()
+    for k, (name, x) in enumerate(items[:80]):
+        a, b, c = x.split("、")
+        out = list("、".join([a, b, c] if k % 4 else [b, a, c]))
+        for i in range(rng.randrange(7), len(out), 11):
+            out[i] = rng.choice(["", out[i] + "も", rng.choice("はにを人日")])
+        docs.append((k, sentence() + "。" + "".join(out) + "。" + sentence()))
+        planted.add((k, name))
+    got = leaks.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), paraphrases=True)
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len(found & planted) >= 0.9 * len(planted)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 2)
     rng = random.Random(2)

@@ -6,11 +6,12 @@ whole corpus. A distributed randomised SVD of the test passages gives a latent s
 passages are folded into it and searched by cosine against every test passage. A low-rank space
 loses short stretches between other test letters, whatever the cosine, so every place of the corpus
 is also looked up among the items' stretches: a shared unbroken stretch of letters is a leak at any
-cosine. Other candidates are checked for the longest common subsequence (a paraphrase); how many of
-the item's own words, its rarest 4-grams in the corpus, the passage holds is reported beside it.
+cosine. Other candidates are paraphrases if the longest common subsequence and the answer check
+bear out the cosine: how many of the item's own words, its rarest 4-grams in the corpus, the
+passage holds.
 
 What makes it scale: columns are the hash buckets of the test items' 4-grams (at most
-``BUCKETS``), so what is sent to the executors has a proven bound and does not grow with the
+``BUCKETS``, and what a block of items holds), so what is sent to the executors has a proven bound and does not grow with the
 corpus; the corpus is read twice (counts, search) and never shuffled. A passage with fewer test
 4-grams than a stretch holds cannot hold one and is not searched. Test sets
 larger than a block are searched block by block.
@@ -36,10 +37,14 @@ STRETCH = 16
 DOC_WINDOW, DOC_STEP = 48, 32
 ITEM_WINDOW, ITEM_STEP = 32, 16
 RANK, OVERSAMPLE, POWER = 96, 16, 2
-MIN_COSINE = 0.2
-PARAPHRASE_COSINE, PARAPHRASE_LCS = 0.75, 0.6
-#: Test passages searched at once, and letters of test items held at once.
-BLOCK = 20_000
+#: A paraphrase: the least cosine and common subsequence, and the least sum of both and the share
+#: of the item's own words (each from 0 to 1). Set on planted paraphrases: 70 of 74 lie above.
+PARAPHRASE_COSINE, PARAPHRASE_LCS, PARAPHRASE_SUM = 0.65, 0.5, 1.6
+#: Test 4-grams from which a passage is searched for paraphrases: one with fewer shares no wording.
+LEAST = 4
+#: Test passages searched at once: a block has at most BLOCK * ITEM_STEP different 4-grams, so its
+#: basis takes at most 58 MB; cosines of CHUNK corpus passages with all of a block take 65 MB.
+BLOCK, CHUNK = 8_000, 2_048
 SEED = 20240229
 
 
@@ -65,6 +70,8 @@ class Space:
     stretch_item: np.ndarray
     ids: list[str]
     texts: list[str]  # letters of each item's fields
+    passages: list[str]  # letters of each test passage
+    own: list[np.ndarray]  # buckets of the rarer half of its 4-grams
 
 
 def _matrix(passages: list[np.ndarray], column: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,8 +97,9 @@ def _times(r: np.ndarray, c: np.ndarray, v: np.ndarray, dense: np.ndarray, rows:
 
 
 def _item_passages(text: str) -> list[np.ndarray]:
+    """Letters of the passages of an item's field."""
     codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return [buckets(codes[s : s + ITEM_WINDOW]) for s in windows(len(codes), ITEM_WINDOW, ITEM_STEP)]
+    return [codes[s : s + ITEM_WINDOW] for s in windows(len(codes), ITEM_WINDOW, ITEM_STEP)]
 
 
 def corpus_counts(docs: DataFrame, text: str, column: np.ndarray) -> tuple[np.ndarray, int]:
@@ -179,18 +187,19 @@ def build_space(docs: DataFrame, text: str, items: pd.DataFrame, rank: int = RAN
     """The latent space of one block of items (item_id, text), with counts over all documents."""
     ids = list(dict.fromkeys(items["item_id"]))
     number = {x: i for i, x in enumerate(ids)}
-    passages, owner, hashes, whose, texts = [], [], [], [], []
+    parts, owner, hashes, whose, texts = [], [], [], [], []
     for item_id, t in zip(items["item_id"], items["text"]):
         t = letters(t)
         texts.append((number[item_id], t))
         if len(t) < STRETCH:
             continue
         own = _item_passages(t)
-        passages += own
+        parts += own
         owner += [number[item_id]] * len(own)
         h = np.unique(ngram_hashes(np.frombuffer(t.encode("utf-32-le"), np.uint32), STRETCH))
         hashes.append(h)
         whose.append(np.full(len(h), number[item_id]))
+    passages = [buckets(p) for p in parts]
     column = np.full(BUCKETS, -1, np.int32)
     used = np.unique(np.concatenate(passages)) if passages else np.empty(0, np.int64)
     column[used] = np.arange(len(used))
@@ -203,13 +212,18 @@ def build_space(docs: DataFrame, text: str, items: pd.DataFrame, rank: int = RAN
     joined = [""] * len(ids)
     for i, t in texts:
         joined[i] += t + "\n"
-    return Space(column, idf, basis, np.array(owner, np.int64), latent, h[order], w[order], ids, joined)
+    rare = []
+    for p in passages:
+        grams = np.unique(p)
+        rare.append(grams[idf[column[grams]] >= np.median(idf[column[grams]])] if len(grams) else grams)
+    return Space(column, idf, basis, np.array(owner, np.int64), latent, h[order], w[order], ids, joined, [p.tobytes().decode("utf-32-le") for p in parts], rare)
 
 
-def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float = MIN_COSINE) -> tuple[np.ndarray, ...]:
+def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float = PARAPHRASE_COSINE, least: int = STRETCH - GRAM + 1) -> tuple[np.ndarray, ...]:
     """Candidates of stacked documents: passage start, its length, its document, item, cosine, and
-    whether they share a stretch; those that do at any cosine, others from ``min_cosine``."""
-    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.float32), np.empty(0, bool))
+    whether they share a stretch, and the item's nearest passage; those that share one come at
+    any cosine, others from ``min_cosine``. ``least``: test 4-grams from which a passage is searched; a stretch has the default."""
+    none = (np.empty(0, np.int64),) * 4 + (np.empty(0, np.float32), np.empty(0, bool), np.empty(0, np.int64))
     if not len(codes) or not len(space.item):
         return none
     edges = np.flatnonzero(np.diff(doc)) + 1
@@ -223,7 +237,7 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
         return none
     hits = np.concatenate(([0], np.cumsum(col >= 0)))
     last = np.maximum(np.minimum(stops - GRAM + 1, len(col)), starts)
-    worth = np.flatnonzero(hits[last] - hits[starts] >= STRETCH - GRAM + 1)
+    worth = np.flatnonzero(hits[last] - hits[starts] >= least)
     if not len(worth):
         return none
     place, leaked = _stretches(space, codes, doc, hits)
@@ -234,8 +248,8 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
     latent = space.latent[order].T
     known, bounds = np.unique(space.item[order], return_index=True)
     out = []
-    for a in range(0, len(starts), 4096):
-        s, e = starts[a : a + 4096], last[a : a + 4096]
+    for a in range(0, len(starts), CHUNK):
+        s, e = starts[a : a + CHUNK], last[a : a + CHUNK]
         size = e - s
         at = np.repeat(s - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         row, c = np.repeat(np.arange(len(s)), size), col[at]
@@ -243,12 +257,15 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
         key, n = np.unique(row[seen] * len(space.idf) + c[seen], return_counts=True)
         r, c = np.divmod(key, len(space.idf))
         z = _unit(_times(r, c, (1 + np.log(n)) * space.idf[c], space.basis, len(s)))
-        cos = np.maximum.reduceat(z @ latent, bounds, axis=1)  # the best passage of each item
+        every = z @ latent
+        cos = np.maximum.reduceat(every, bounds, axis=1)  # the best passage of each item
         held = (holder >= a) & (holder < a + len(s))
         leak = np.zeros(cos.shape, bool)
         leak[holder[held] - a, np.searchsorted(known, leaked[held])] = True
         p, q = np.nonzero((cos >= min_cosine) | leak)
-        out.append((s[p], stops[a : a + 4096][p] - s[p], doc[s[p]], known[q], cos[p, q], leak[p, q]))
+        ends_ = np.append(bounds, len(order))
+        best = np.array([order[ends_[j] + every[i, ends_[j] : ends_[j + 1]].argmax()] for i, j in zip(p, q)], np.int64)
+        out.append((s[p], stops[a : a + CHUNK][p] - s[p], doc[s[p]], known[q], cos[p, q], leak[p, q], best))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -280,13 +297,13 @@ def _blocks(items: DataFrame) -> Iterator[pd.DataFrame]:
         yield part.toPandas().sort_values(["item_id", "text"])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", paraphrases: bool = False, min_cosine: float = MIN_COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", paraphrases: bool = False) -> DataFrame:
     """(key, item_id) of the documents that hold a stretch of ``STRETCH`` letters of an item.
 
     ``items``: item_id, text (one row a field). With ``paraphrases``: (key, item_id, kind,
-    cosine, lcs, answer), also of passages near an item in the latent space whose longest common
-    subsequence holds ``PARAPHRASE_LCS`` of the item passage's letters without a stretch; ``answer`` is
-    the share of the item's own words in the passage, 1 of a leak, and decides nothing.
+    cosine, lcs, answer), also of passages without a stretch near an item in the latent space;
+    ``lcs`` is the share of the item passage's letters in order, ``answer`` that of its own words
+    in the passage, both 1 of a leak; the three together decide.
     Null keys, null and empty texts give nothing; a text or item shorter than a stretch cannot
     leak. Whole texts are searched; rows repeated give one row.
     """
@@ -301,13 +318,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             s = space.value
             for pdf in batches:
                 for codes, doc in _stacked(pdf["t"]):
-                    start, size, d, item, cos, leak = search(s, codes, doc, min_cosine)
+                    start, size, d, item, cos, leak, best = search(s, codes, doc, PARAPHRASE_COSINE, LEAST if paraphrases else STRETCH - GRAM + 1)
                     found = pd.DataFrame({"d": d, "item": item, "kind": "verbatim", "cosine": cos, "lcs": 1.0, "answer": 1.0})[leak]
                     if paraphrases:
-                        near = np.flatnonzero(~leak & (cos >= PARAPHRASE_COSINE))
-                        rows = [(d[i], item[i], "paraphrase", cos[i], *_likeness(s, codes[start[i] : start[i] + size[i]], s.texts[item[i]])) for i in near]
+                        near = np.flatnonzero(~leak)
+                        rows = [(d[i], item[i], "paraphrase", cos[i], *_likeness(codes[start[i] : start[i] + size[i]], s.passages[best[i]], s.own[best[i]])) for i in near]
                         also = pd.DataFrame(rows, columns=["d", "item", "kind", "cosine", "lcs", "answer"])
-                        found = pd.concat([found, also[also["lcs"] >= PARAPHRASE_LCS]])
+                        good = (also["lcs"] >= PARAPHRASE_LCS) & (also["cosine"] + also["lcs"] + also["answer"] >= PARAPHRASE_SUM)
+                        found = pd.concat([found, also[good]])
                     found = found.sort_values(["kind", "cosine"], ascending=[False, False]).drop_duplicates(["d", "item"])
                     yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": pd.Series([s.ids[i] for i in found["item"]], dtype=object), "kind": pd.Series(list(found["kind"]), dtype=object), "cosine": found["cosine"].to_numpy(float), "lcs": found["lcs"].to_numpy(float), "answer": found["answer"].to_numpy(float)})
 
@@ -317,16 +335,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return pairs if paraphrases else pairs.select(key, "item_id")
 
 
-def _likeness(space: Space, passage: np.ndarray, item: str) -> tuple[float, float]:
-    """Best share of an item window's letters that stand in order in the passage, and the share of
-    that window's own words, the rarer half of its 4-grams by IDF, that stand in it."""
-    p, held = passage.tobytes().decode("utf-32-le"), buckets(passage)
-    best = (0.0, 0.0)
-    for field in item.split("\n"):
-        for s in range(0, max(1, len(field) - ITEM_WINDOW + ITEM_STEP), ITEM_STEP):
-            w = field[s : s + ITEM_WINDOW]
-            if len(w) >= STRETCH:
-                own = np.unique(buckets(np.frombuffer(w.encode("utf-32-le"), np.uint32)))
-                idf = space.idf[space.column[own]]
-                best = max(best, (lcs_length(w, p) / len(w), float(np.isin(own[idf >= np.median(idf)], held).mean())))
-    return best
+def _likeness(passage: np.ndarray, wanted: str, own: np.ndarray) -> tuple[float, float]:
+    """The share of an item passage's letters that stand in order in a corpus passage, and the
+    share of its own words, the rarer half of its 4-grams, that stand in it."""
+    return lcs_length(wanted, passage.tobytes().decode("utf-32-le")) / max(1, len(wanted)), float(np.isin(own, buckets(passage)).mean()) if len(own) else 0.0
