@@ -46,17 +46,16 @@ def shares(texts: list[str | None], lengths: tuple[int, ...] = LENGTHS) -> pd.Da
     line_doc = []
     at = 0
     for i, t in enumerate(texts):
-        codes = letter_codes(t, digits=False)
+        # a text's letters are those of its lines, so both kinds of evidence share their places
+        pieces = [letter_codes(x, digits=False) for x in LINES.split(t or "")]
         here = at
-        if t:
-            pieces = [letter_codes(x, digits=False) for x in LINES.split(t)]
-            if sum(map(len, pieces)) == len(codes):
-                for p in pieces:
-                    if len(p) > 1:
-                        line_at.append(here)
-                        line_len.append(len(p))
-                        line_doc.append(i)
-                    here += len(p)
+        for p in pieces:
+            if len(p) > 1:
+                line_at.append(here)
+                line_len.append(len(p))
+                line_doc.append(i)
+            here += len(p)
+        codes = np.concatenate(pieces)
         parts.append(codes)
         at += len(codes)
         starts[i + 1] = at
