@@ -300,3 +300,32 @@ def test_merged_samples(spark):
     r = spark.createDataFrame([("b", 2, "x"), ("a", 1, "y"), ("c", 3, "z")], "id string, ord int, note string")
     i = spark.createDataFrame([("a", "item a"), ("b", "item b")], "id string, note string")
     assert [(x.id, x.note) for x in scoring.merged(r, i, "id", ["ord"], 2).orderBy("ord").collect()] == [("a", "item a"), ("b", "item b")]
+
+
+def test_leaves_however_deep(spark):
+    df = spark.sql("select 'a' as x, array('b', null) as y, named_struct('p', 'c', 'q', array(named_struct('r', 'd', 'n', 1), null)) as z, map('k', array('e')) as m, 5 as n, array(1, 2) as o, cast(null as struct<u: string>) as v")
+    assert df.select(validate.leaves(df).alias("t")).first().t == "a b c d e"
+
+
+def test_json_document(spark, tmp_path):
+    (tmp_path / "d.json").write_text('[{"a": 1,\n "b": "x"},\n {"a": 2}]', encoding="utf-8")
+    assert [(r.a, r.b) for r in jsonl.document(spark, str(tmp_path / "d.json")).collect()] == [(1, "x"), (2, None)]
+    assert jsonl.document(spark, str(tmp_path / "none.json"), "a int").count() == 0
+
+
+def test_errors_prompts_and_fallback(spark):
+    df = spark.createDataFrame([("p", "p and more", '{"empathy": 1, "appropriateness": 2, "naturalness": 3, "warmth": 1}'), ("q", "more", "no json")], "prompt string, text string, judged string")
+
+    def broken():
+        def answer(texts):
+            raise RuntimeError("gone")
+
+        return answer
+
+    assert {r.response for r in generate.generated(df, "prompt", broken, error="ERR: ").collect()} == {"ERR: gone"}
+    assert [r.t for r in df.select(generate.without_prompt(F.col("text"), F.col("prompt")).alias("t")).collect()] == [" and more", "more"]
+    assert [r.v for r in df.select(judge.parts_or_rule("judged", F.col("text"), F.array(F.lit("bad"))).alias("v")).collect()] == [7, 4]
+    assert [r.h for r in df.select(pr.pattern_hit("text", ["m.re", "^x"]).alias("h")).collect()] == [True, True]
+    assert not df.select(pr.pattern_hit("text", []).alias("h")).first().h
+    ratios = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", None)], "id string, ratio double")
+    assert [r.id for r in summary.leaks(ratios).collect()] == ["a"]

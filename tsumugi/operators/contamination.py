@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from tsumugi.functions.letters import code_points, ngram_hashes
 from tsumugi.functions.text import ngram_set
+from tsumugi.session import cut
 
-#: Distinct grams of the items up to which their hashes are broadcast (8 bytes each).
-MOST_GRAMS = 4_000_000
+#: Distinct grams of the items up to which their hashes are collected and broadcast: 8 MB.
+MOST_GRAMS = 1 << 20
 
 
 def _hits_by_join(grams: DataFrame, corpus: DataFrame, text: str, n: int) -> DataFrame:
@@ -30,11 +31,17 @@ def leak_ratios(items: DataFrame, corpus: DataFrame, text: str = "text", n: int
     """
     grams = items.select("id", F.explode(ngram_set(F.coalesce(F.col("text"), F.lit("")), n)).alias("g"))
     sizes = items.select("id", F.size(ngram_set(F.coalesce(F.col("text"), F.lit("")), n)).alias("n_grams"))
-    if grams.select("g").distinct().count() > most:
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = [ngram_hashes(code_points(g), n) for g in pdf["g"]]
+            yield pd.DataFrame({"h": np.unique(np.concatenate(own or [np.empty(0, np.uint64)])).view(np.int64)})
+
+    known = cut(grams.select("g").mapInPandas(hashed, "h bigint").distinct())
+    if known.count() > most:
         seen = _hits_by_join(grams, corpus, text, n)
     else:
-        known = grams.select("g").distinct().toPandas()["g"]  # counted: at most ``most``
-        hashes = np.unique(np.concatenate([ngram_hashes(code_points(g), n) for g in known] or [np.empty(0, np.uint64)]))
+        hashes = np.sort(known.toPandas()["h"].to_numpy(np.int64).view(np.uint64))  # counted: at most ``most``
         shared = corpus.sparkSession.sparkContext.broadcast(hashes)
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tsumugi.functions.text import col, prompt_lines
+from tsumugi.operators.scoring import family_v1
 
 Judge = Callable[[str], str]
 
@@ -47,6 +48,11 @@ def parse_parts(c: Column | str) -> Column:
     return sum((v[p] for p in PARTS[1:]), v[PARTS[0]])
 
 
+def parts_or_rule(text: Column | str, response: Column, anti: Column) -> Column:
+    """The total a judge's text gives, or that of the first family rule where it gives none."""
+    return F.coalesce(parse_parts(text), family_v1(response, anti)["total"])
+
+
 def rule_judge(prompt: str) -> str:
     """A judge without a model, for tests: more for a response of middling length."""
     response = prompt.rpartition("応答: ")[2]

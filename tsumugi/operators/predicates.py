@@ -63,6 +63,11 @@ def firewall_hit(c: Column | str, terms: tuple[str, ...] = FIREWALL) -> Column:
     return col(c).rlike("|".join(map(re.escape, terms)))
 
 
+def pattern_hit(c: Column | str, patterns: list[str]) -> Column:
+    """Whether the text holds one of the regular expressions, given from outside; none without any."""
+    return col(c).rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+
+
 def foreign_run(c: Column | str, allowed: tuple[str, ...] = ENGLISH_ALLOWED) -> Column:
     """Whether a run of four or more ASCII letters is not allowed."""
     return F.exists(english_runs(c), lambda w: ~F.lower(w).isin(*allowed))

@@ -17,8 +17,6 @@ SILENCE_V1 = ("<silence>", "(沈黙)", "(無言)")
 WARMTH = ("ね", "よ", "かな", "おかえり", "おはよう", "おやすみ", "ありがとう", "すごい", "嬉しい", "楽しい", "頑張", "大丈夫")
 EMPATHY = ("うん", "そっか", "そう", "わかる", "辛い", "嬉しい", "良かった", "悲しい", "大変", "そうだね")
 GRAMS = (4, 5, 6, 8)
-#: What the family score says it can reach, and what it can.
-MAX_POSSIBLE, MAX_REACHABLE = 12, 11
 
 
 def degenerate_reason(c: Column | str) -> Column:

@@ -99,6 +99,11 @@ def totals(df: DataFrame, by: list[str]) -> DataFrame:
     return df.rollup(*by).agg(F.count("*").alias("n"), *[m.alias(f"_{c}") for c, m in zip(by, marks)]).select(*[F.col(f"_{c}").alias(c) for c in by], "n")
 
 
+def leaks(df: DataFrame, limit: float = 0.3) -> DataFrame:
+    """The items of which more than ``limit`` leaked: a row each, not one list for all."""
+    return df.where(F.col("ratio") > limit)
+
+
 def leak_summary(df: DataFrame, by: str, limit: float = 0.3) -> DataFrame:
     """A row a split: questions, mean and maximal ratio, and how many lie above ``limit``."""
     return df.groupBy(by).agg(F.count("*").alias("n_questions"), F.bround(F.avg("ratio"), 6).alias("mean_leak_ratio"), F.bround(F.max("ratio"), 6).alias("max_leak_ratio"), F.count_if(F.col("ratio") > limit).alias("n_leaks"))

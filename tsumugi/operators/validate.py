@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tsumugi.functions.text import col
 from tsumugi.operators.predicates import FIREWALL, bad_list, bad_response, firewall_hit, has_backtick, missing_keys
@@ -27,17 +28,27 @@ def present(df: DataFrame, names: list[str] | None = None) -> Column:
     return F.filter(F.array(*(F.when(F.col(f"`{c}`").isNotNull(), F.lit(c)) for c in cols)), lambda x: x.isNotNull())
 
 
+def _leaves(c: Column, kind: T.DataType) -> Column | None:
+    """The strings in a value of any nested type, as an array; None where it can hold none."""
+    none = F.array().cast("array<string>")
+    if isinstance(kind, T.StringType):
+        return F.array(c)
+    if isinstance(kind, T.StructType):
+        parts = [p for f in kind if (p := _leaves(c[f.name], f.dataType)) is not None]
+        return F.coalesce(F.concat(*parts), none) if parts else None
+    if isinstance(kind, T.MapType):
+        return _leaves(F.map_values(c), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, T.StringType):
+            return F.coalesce(c, none)
+        if _leaves(F.lit(None), kind.elementType) is not None:
+            return F.coalesce(F.flatten(F.transform(c, lambda x: _leaves(x, kind.elementType))), none)
+    return None
+
+
 def leaves(df: DataFrame) -> Column:
-    """All strings of a row, joined by spaces."""
-    parts = []
-    for name, kind in df.dtypes:
-        c = F.col(f"`{name}`")
-        if kind == "string":
-            parts.append(c)
-        elif kind == "array<string>":
-            parts.append(F.array_join(c, " "))
-        elif kind.startswith("map<string,string"):
-            parts.append(F.array_join(F.map_values(c), " "))
+    """All strings of a row, however deep, joined by spaces; keys of maps are none."""
+    parts = [p for f in df.schema if (p := _leaves(F.col(f"`{f.name}`"), f.dataType)) is not None]
     return F.concat_ws(" ", *parts)
 
 
@@ -141,11 +152,6 @@ def schema_kind(df: DataFrame) -> Column:
     return F.when(lacks(STANDARD) == "", "standard").when(lacks(KEIGO_LEGACY) == "", "keigo_legacy").when(lacks(SILENCE_LEGACY) == "", "silence_legacy").otherwise(F.concat(F.lit("missing:"), lacks(STANDARD)))
 
 
-def unknown_axis(axis: Column | str, axes: tuple[str, ...] = AXES) -> Column:
-    a = col(axis)
-    return F.coalesce((a != "") & ~a.isin(*axes), F.lit(False))
-
-
 def duplicate_ids(df: DataFrame, key: str = "id") -> DataFrame:
     """(key, n) of the ids that stand more than once."""
     return df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")

@@ -622,6 +622,17 @@ def not_done(spark, sf):
     return cs.not_done(table(spark, sf, "compassion_synth_v06").select("id").distinct(), done, "id", 3)
 
 
+@query(f"with i as (select id, 'compassion' as axis, 0 as o, context, \"user\" as u, {VALID} as r from (select distinct * from compassion_synth_v06) union all select id, 'local_culture', 1, context, \"user\", {VALID} from local_culture_synth_v06) select axis, count(*) as n from (select *, row_number() over (partition by coalesce(context, '') || '|' || coalesce(u, '') order by o, id) as k from i where r = 'ok') where k = 1 group by axis")
+def dedup_after_cleaning(spark, sf):
+    """Valid items of two axes, the first of each context and user over both."""
+    parts = []
+    for o, (axis, name) in enumerate((("compassion", "compassion_synth_v06"), ("local_culture", "local_culture_synth_v06"))):
+        t = table(spark, sf, name)
+        t = t.drop("batch_no", "line_no", "created_at").distinct() if axis == "compassion" else t.drop("batch_no", "line_no", "created_at")
+        parts.append(t.select("id", F.lit(axis).alias("axis"), F.lit(o).alias("o"), cs.dedup_key("context", "user").alias("k"), validate.item_reason(t).alias("r")).where("r = 'ok'"))
+    return cs.first_wins(parts[0].unionByName(parts[1]), ["k"], ["o", "id"]).groupBy("axis").agg(F.count("*").alias("n"))
+
+
 # ---- generation and judging ----------------------------------------------------------------
 @query("select id as seed_id, c as cycle, r as retry, round_even(0.7 + 0.1 * r + 0.05 * c, 6)::double as temperature, array_to_string(expected_qualities[((r + 2 * c) % len(expected_qualities)) + 1:((r + 2 * c) % len(expected_qualities)) + 2], ',') as hints from (select distinct id, expected_qualities from silence_seed), range(0, 3) t(c), range(0, 2) u(r)".replace("silence_seed", "keigo_synth_v06"))
 def attempt_plan(spark, sf):
@@ -711,11 +722,12 @@ def generate_stub(spark, sf):
 def _test_texts(spark, sf):
     f, s = table(spark, sf, "family_v03_additions"), table(spark, sf, "silence")
     both = [t.select(F.lit(n).alias("split"), "id", F.concat("context", F.lit(" "), "user").alias("text")) for n, t in (("family", f), ("silence", s))]
-    return both[0].unionByName(both[1])
+    keigo = table(spark, sf, "keigo_synth_v06").select(F.lit("keigo").alias("split"), "id", F.concat("context", F.lit(" ")).alias("text")).distinct()
+    return both[0].unionByName(both[1]).unionByName(keigo)
 
 
 GRAMS8 = "range(1, length(t) - 6)"
-LEAK = f"""with i as (select 'family' as split, id, context || ' ' || "user" as t from family_v03_additions union all select 'silence', id, context || ' ' || "user" from silence),
+LEAK = f"""with i as (select 'family' as split, id, context || ' ' || "user" as t from family_v03_additions union all select 'silence', id, context || ' ' || "user" from silence union all select distinct 'keigo', id, context || ' ' from keigo_synth_v06),
     g as (select distinct split, id, unnest(list_transform({GRAMS8}, lambda k: substr(t, k, 8))) as g from i), c as (select distinct unnest(list_transform({GRAMS8}, lambda k: substr(t, k, 8))) as g from (select text as t from documents)),
     h as (select split, id, count(*) as n_grams, count(c.g) as n_hits from g left join c using (g) group by all), o as (select i.id, i.split, coalesce(n_grams, 0) as n_grams, coalesce(n_hits, 0) as n_hits, round_even(n_hits / n_grams, 6)::double as ratio from i left join h using (split, id))"""
 
@@ -733,6 +745,14 @@ def decontam_summary(spark, sf):
     return summary.leak_summary(contamination.leak_ratios(items, table(spark, sf, "documents")).join(items.select("id", "split"), "id"), "split")
 
 
+@query(f"{LEAK} select split, id, n_grams, n_hits, ratio from o where ratio > 0.3")
+def decontam_leaks(spark, sf):
+    """The items of each split that leaked."""
+    items = _test_texts(spark, sf)
+    found = contamination.leak_ratios(items, table(spark, sf, "documents")).join(items.select("id", "split"), "id")
+    return summary.leaks(found).select("split", "id", "n_grams", "n_hits", "ratio")
+
+
 # ---- streams -------------------------------------------------------------------------------
 @query(f"select date_trunc('day', ingested_at) as window_start, variant, count(*) as n, count_if(coalesce({s_degenerate('response')}, '') <> '') as degenerate from (select distinct on (row_id) * from response where ingested_at is not null) group by all".replace("date_trunc('day', ingested_at)", "strftime(ingested_at, '%Y-%m-%d')"))
 def stream_rates(spark, sf):

@@ -45,10 +45,19 @@ def lines(spark: SparkSession, *paths: str) -> DataFrame:
     w = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))  # one row a block
     # ids rise by one within a block: it is read by one task
-    out = placed.join(F.broadcast(before), ["file_path", "file_block_start"])
+    out = placed.join(before, ["file_path", "file_block_start"])
     return out.select(F.col("file_path").alias("file"), (F.col("_m") - F.col("_first") + F.col("_before") + 1).alias("line_no"), "line")
 
 
+def document(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The rows of one JSON document over several lines: an object, or an array of objects. A
+    missing file gives no rows of ``schema``, and an error where no schema is given."""
+    if schema is not None and not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    reader = spark.read.option("multiLine", True).option("mode", "FAILFAST")
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
 def parsed(src: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of lines (file, line_no, line): typed rows with file and line_no, and a
     row (file, line_no, error) for every line that is no whole JSON object. Blank lines are
