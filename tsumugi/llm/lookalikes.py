@@ -137,25 +137,32 @@ def _ranges(points: set[int]) -> str:
 
 
 @functools.cache
-def transducer() -> tuple[re.Pattern, dict[str, str], dict[int, str], re.Pattern]:
-    """The pattern of clusters that need the map, the map of clusters and of single characters,
-    and what is hidden."""
+def transducer() -> tuple[re.Pattern, re.Pattern, dict[str, str], dict[int, str], re.Pattern]:
+    """What tells that a text has clusters, the pattern of those that need the map, the map of
+    clusters and of single characters, and what is hidden."""
     table = compile_map()
-    hidden = _ranges({ord(a) for a, b in table.items() if b == "" and len(a) == 1} | {ord(ZWJ)})
-    marks = _ranges({i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))} | {ord(x) for a in table for x in a[1:]})
+    hide = {ord(a) for a, b in table.items() if b == "" and len(a) == 1} | {ord(ZWJ)}
+    mark = {i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))} | {ord(x) for a in table for x in a[1:]}
+    hidden, marks = _ranges(hide), _ranges(mark)
+    # one test of a character below 0x10000 costs the same however many the class has
+    some = re.compile(f"[{_ranges({i for i in hide | mark if i < 0x10000})}]|[\U00010000-\U0010ffff]")
     # a joiner shows only between pictographs: those sequences stay as they are
     picto = "[\U0001f000-\U0001faff☀-➿]"
     joined = f"(?P<keep>{picto}[\ufe0e\ufe0f]?(?:{ZWJ}{picto}[\ufe0e\ufe0f]?)+)"
-    return re.compile(f"{joined}|(?:[^{marks}{hidden}][{hidden}]*)?[{marks}][{marks}{hidden}]*|[{hidden}]+", re.S), table, {ord(a): b for a, b in table.items() if len(a) == 1 and b}, re.compile(f"[{hidden}]+")
+    clusters = re.compile(f"{joined}|(?:[^{marks}{hidden}][{hidden}]*)?[{marks}][{marks}{hidden}]*|[{hidden}]+", re.S)
+    return some, clusters, table, {ord(a): b for a, b in table.items() if len(a) == 1 and b}, re.compile(f"[{hidden}]+")
 
 
 def _cluster(m: re.Match) -> str:
     """The longest known start of a cluster, its marks in canonical order, gets its form; the
     marks left over stay."""
-    if m["keep"]:
-        return m[0]
-    _, table, single, hidden = transducer()
-    whole = unicodedata.normalize("NFC", hidden.sub("", m[0]).replace("ﾞ", "\u3099").replace("ﾟ", "\u309a"))
+    return m[0] if m["keep"] else _formed(m[0])
+
+
+@functools.lru_cache(1 << 14)
+def _formed(cluster: str) -> str:
+    _, _, table, single, hidden = transducer()
+    whole = unicodedata.normalize("NFC", hidden.sub("", cluster).replace("ﾞ", "\u3099").replace("ﾟ", "\u309a"))
     for n in range(len(whole), 1, -1):
         if (to := table.get(whole[:n])) is not None:
             return unicodedata.normalize("NFC", to + whole[n:])
@@ -184,9 +191,9 @@ def _kind(ch: str) -> str:
     return "a" if ch.isascii() and ch.isalnum() else ""
 
 
-def _word(m: re.Match) -> str:
+@functools.lru_cache(1 << 14)
+def _word(word: str) -> str:
     """A word in one script, that of its letters which are drawn like no other."""
-    word = m[0]
     if word.isascii() or not any(x in LATIN_ALIKE for x in word):
         own = {unicodedata.name(x, "?").split()[0] for x in word if not x.isascii()}
         if not own & {"CYRILLIC", "GREEK"}:
@@ -199,9 +206,13 @@ def _word(m: re.Match) -> str:
 
 
 def _run(m: re.Match) -> str:
+    a, b, text = m.start(), m.end(), m.string
+    return _read(m[0], text[a - 1 : a] if a else "", text[b : b + 1], text[b + 1 : b + 2])
+
+
+@functools.lru_cache(1 << 16)
+def _read(run: str, left: str, right: str, after: str) -> str:
     """A run of letters and strokes drawn alike, read by what stands on either side."""
-    run, text = m[0], m.string
-    left, right, after = (text[i : i + 1] if i >= 0 else "" for i in (m.start() - 1, m.end(), m.end() + 1))
     lk, rk = _kind(left), _kind(right)
     if run[0] in WAVES:
         return ("~" if "a" in (lk, rk) or (left + right).isascii() and left + right else "〜") * len(run)
@@ -248,10 +259,12 @@ def consistent(text: str | None) -> str | None:
     """The consistent form of ``text``; null stays null, empty stays empty."""
     if not text:
         return text
-    clusters, _, single, _ = transducer()
+    some, clusters, _, single, _ = transducer()
     if not text.isascii():
-        text = clusters.sub(_cluster, text).translate(single)
-        if (words := WORDS.sub(_word, text)) != text:
+        if some.search(text):
+            text = clusters.sub(_cluster, text)
+        text = text.translate(single)
+        if (words := WORDS.sub(lambda m: _word(m[0]), text)) != text:
             text = unicodedata.normalize("NFC", words)
     elif not ("-" in text or "~" in text):
         return text
