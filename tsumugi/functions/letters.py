@@ -13,11 +13,17 @@ import unicodedata
 import numpy as np
 
 
+#: Code points of the planes that hold letters, digits and marks.
+PLANES = 0x40000
+
+
 @functools.cache
 def keep_table(digits: bool = True) -> np.ndarray:
     """For each code point, whether it is a letter (or digit)."""
     kinds = "LN" if digits else "L"
-    return np.fromiter((unicodedata.category(chr(i))[0] in kinds for i in range(0x110000)), bool, 0x110000)
+    out = np.zeros(0x110000, bool)  # no letters stand beyond the third plane
+    out[:PLANES] = np.fromiter((unicodedata.category(chr(i))[0] in kinds for i in range(PLANES)), bool, PLANES)
+    return out
 
 
 def code_points(text: str) -> np.ndarray:
