@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 import unicodedata
 
 import pandas as pd
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tsumugi.functions.letters import PLANES
 from tsumugi.operators.joins import spread_join
 
 # Letters of other scripts drawn like a Latin letter, and the Latin letter.
@@ -45,6 +45,8 @@ DASHES_ALSO = "─━⁃˗﹣−➖"
 STROKES = "ー一"
 WAVES = "〜~"
 INVISIBLE_ALSO = "ᅟᅠㅤﾠ͏឴឵"
+#: Code points with anything to map: the planes of letters, and that of tags and selectors.
+POINTS = (*range(PLANES), *range(0xE0000, 0xE1000))
 ZWJ = "‍"
 
 
@@ -54,7 +56,7 @@ class Conflict(ValueError):
 
 def _rules():
     """(cluster, form) of every rule; forms may still need another rule."""
-    for i in range(sys.maxunicode + 1):
+    for i in POINTS:
         ch = chr(i)
         kind = unicodedata.category(ch)
         if kind == "Cf" or ch in INVISIBLE_ALSO or 0xFE00 <= i <= 0xFE0F or 0xE0100 <= i <= 0xE01EF or 0x180B <= i <= 0x180F:
@@ -142,7 +144,7 @@ def transducer() -> tuple[re.Pattern, re.Pattern, dict[str, str], dict[int, str]
     clusters and of single characters, and what is hidden."""
     table = compile_map()
     hide = {ord(a) for a, b in table.items() if b == "" and len(a) == 1} | {ord(ZWJ)}
-    mark = {i for i in range(sys.maxunicode + 1) if unicodedata.combining(chr(i))} | {ord(x) for a in table for x in a[1:]}
+    mark = {i for i in POINTS if unicodedata.combining(chr(i))} | {ord(x) for a in table for x in a[1:]}
     hidden, marks = _ranges(hide), _ranges(mark)
     # one test of a character below 0x10000 costs the same however many the class has
     some = re.compile(f"[{_ranges({i for i in hide | mark if i < 0x10000})}]|[\U00010000-\U0010ffff]")
