@@ -177,7 +177,7 @@ GREEK = {b: a for a, b in LATIN_ALIKE.items() if "\u0370" <= a <= "\u03ff"}
 ALIKE = "".join(KANA_ALIKE) + "".join(KATA)
 LEVEL = STROKES + "-―"
 RUNS = re.compile(f"[{re.escape(ALIKE + LEVEL)}]+|[{WAVES}]+")
-WORDS = re.compile("[^\\W\\d_ぁ-ヿ一-鿿]+")
+WORDS = re.compile("[^\\W\\d_ぁ-ヿ一-鿿][^\\W\\d_ぁ-ヿ一-鿿\u0300-\u036f]*(?:[\u0300-\u036f]+[^\\W\\d_ぁ-ヿ一-鿿]*)*")
 
 
 def _kind(ch: str) -> str:
