@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tsumugi.functions.letters import letters
+from tsumugi.functions.letters import lcs_length, letters
 from tsumugi.llm import leaks
 
 KANA = "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわん水木火土金山川空"
@@ -128,3 +128,11 @@ def test_svd_matches_numpy(spark):
     full = np.zeros((80, 60))
     full[r, c] = v
     assert np.allclose(full @ basis @ basis.T, full, atol=1e-3)
+
+
+def test_in_order_like_one_pair_at_a_time():
+    rng = random.Random(5)
+    a = [make(rng, rng.randint(0, 32)).translate({ord(k): "あ" for k in KANA[::3]}) for _ in range(300)]
+    b = [make(rng, rng.randint(0, 48)).translate({ord(k): "あ" for k in KANA[::3]}) for _ in range(300)]
+    pad = lambda ts, n: leaks._padded([np.array([ord(c) for c in t], np.int64) for t in ts], n)
+    assert leaks._in_order(pad(a, 32), pad(b, 48)).tolist() == [lcs_length(x, y) for x, y in zip(a, b)]

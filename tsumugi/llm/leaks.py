@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.functions.letters import keep_table, lcs_length, letter_codes, letters, ngram_hashes
+from tsumugi.functions.letters import keep_table, letter_codes, letters, ngram_hashes
 
 GRAM = 4
 BUCKETS = 1 << 20
@@ -70,8 +70,8 @@ class Space:
     stretch_item: np.ndarray
     ids: list[str]
     texts: list[str]  # letters of each item's fields
-    passages: list[str]  # letters of each test passage
-    own: list[np.ndarray]  # buckets of the rarer half of its 4-grams
+    passages: np.ndarray  # test passage x letters, -1 for none
+    own: np.ndarray  # test passage x buckets of the rarer half of its 4-grams
 
 
 def _matrix(passages: list[np.ndarray], column: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,6 +183,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.full((len(rows), width), -1, np.int64)
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
 def build_space(docs: DataFrame, text: str, items: pd.DataFrame, rank: int = RANK) -> Space:
     """The latent space of one block of items (item_id, text), with counts over all documents."""
     ids = list(dict.fromkeys(items["item_id"]))
@@ -216,7 +223,7 @@ def build_space(docs: DataFrame, text: str, items: pd.DataFrame, rank: int = RAN
     for p in passages:
         grams = np.unique(p)
         rare.append(grams[idf[column[grams]] >= np.median(idf[column[grams]])] if len(grams) else grams)
-    return Space(column, idf, basis, np.array(owner, np.int64), latent, h[order], w[order], ids, joined, [p.tobytes().decode("utf-32-le") for p in parts], rare)
+    return Space(column, idf, basis, np.array(owner, np.int64), latent, h[order], w[order], ids, joined, _padded(parts, ITEM_WINDOW), _padded(rare, ITEM_WINDOW))
 
 
 def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float = PARAPHRASE_COSINE, least: int = STRETCH - GRAM + 1) -> tuple[np.ndarray, ...]:
@@ -264,7 +271,12 @@ def search(space: Space, codes: np.ndarray, doc: np.ndarray, min_cosine: float =
         leak[holder[held] - a, np.searchsorted(known, leaked[held])] = True
         p, q = np.nonzero((cos >= min_cosine) | leak)
         ends_ = np.append(bounds, len(order))
-        best = np.array([order[ends_[j] + every[i, ends_[j] : ends_[j + 1]].argmax()] for i, j in zip(p, q)], np.int64)
+        best, top = ends_[q], every[p, ends_[q]]
+        for k in range(1, int((ends_[1:] - ends_[:-1]).max())):  # the passages of an item, one after the other
+            at = np.minimum(ends_[q] + k, ends_[q + 1] - 1)
+            better = every[p, at] > top
+            best, top = np.where(better, at, best), np.where(better, every[p, at], top)
+        best = order[best]
         out.append((s[p], stops[a : a + CHUNK][p] - s[p], doc[s[p]], known[q], cos[p, q], leak[p, q], best))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -322,10 +334,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
                     found = pd.DataFrame({"d": d, "item": item, "kind": "verbatim", "cosine": cos, "lcs": 1.0, "answer": 1.0})[leak]
                     if paraphrases:
                         near = np.flatnonzero(~leak)
-                        rows = [(d[i], item[i], "paraphrase", cos[i], *_likeness(codes[start[i] : start[i] + size[i]], s.passages[best[i]], s.own[best[i]])) for i in near]
-                        also = pd.DataFrame(rows, columns=["d", "item", "kind", "cosine", "lcs", "answer"])
-                        good = (also["lcs"] >= PARAPHRASE_LCS) & (also["cosine"] + also["lcs"] + also["answer"] >= PARAPHRASE_SUM)
-                        found = pd.concat([found, also[good]])
+                        lcs, answer = _likeness(s, codes, start[near], size[near], best[near])
+                        good = (lcs >= PARAPHRASE_LCS) & (cos[near] + lcs + answer >= PARAPHRASE_SUM)
+                        near = near[good]
+                        found = pd.concat([found, pd.DataFrame({"d": d[near], "item": item[near], "kind": "paraphrase", "cosine": cos[near], "lcs": lcs[good], "answer": answer[good]})])
                     found = found.sort_values(["kind", "cosine"], ascending=[False, False]).drop_duplicates(["d", "item"])
                     yield pd.DataFrame({"key": pdf["key"].to_numpy()[found["d"].to_numpy(np.int64)], "item_id": pd.Series([s.ids[i] for i in found["item"]], dtype=object), "kind": pd.Series(list(found["kind"]), dtype=object), "cosine": found["cosine"].to_numpy(float), "lcs": found["lcs"].to_numpy(float), "answer": found["answer"].to_numpy(float)})
 
@@ -335,7 +347,34 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     return pairs if paraphrases else pairs.select(key, "item_id")
 
 
-def _likeness(passage: np.ndarray, wanted: str, own: np.ndarray) -> tuple[float, float]:
-    """The share of an item passage's letters that stand in order in a corpus passage, and the
-    share of its own words, the rarer half of its 4-grams, that stand in it."""
-    return lcs_length(wanted, passage.tobytes().decode("utf-32-le")) / max(1, len(wanted)), float(np.isin(own, buckets(passage)).mean()) if len(own) else 0.0
+def _likeness(space: Space, codes: np.ndarray, start: np.ndarray, size: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By pair of a corpus passage and an item passage: the share of the item passage's letters
+    that stand in order in the corpus passage, and the share of its own words, the rarer half of
+    its 4-grams, that stand in it."""
+    lcs, answer = np.zeros(len(best)), np.zeros(len(best))
+    for a in range(0, len(best), CHUNK):
+        at, n, b = start[a : a + CHUNK], size[a : a + CHUNK], best[a : a + CHUNK]
+        where = at[:, None] + np.arange(DOC_WINDOW)
+        inside = np.arange(DOC_WINDOW) < n[:, None]
+        text = np.where(inside, codes[np.minimum(where, len(codes) - 1)].astype(np.int64), -1)
+        wanted, own = space.passages[b], space.own[b]
+        lcs[a : a + CHUNK] = _in_order(wanted, text) / np.maximum(1, (wanted >= 0).sum(1))
+        grams = buckets(text.astype(np.uint32).ravel())  # those over the edge of a passage are left out
+        grams = np.append(grams, [-1] * (GRAM - 1)).reshape(text.shape)[:, : DOC_WINDOW - GRAM + 1]
+        grams = np.where(inside[:, GRAM - 1 :], grams, -1)
+        held = ((own[:, :, None] == grams[:, None, :]).any(2) & (own >= 0)).sum(1)
+        answer[a : a + CHUNK] = held / np.maximum(1, (own >= 0).sum(1))
+    return lcs, answer
+
+
+def _in_order(wanted: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """By row, the length of the longest common subsequence of two arrays of codes, -1 being no
+    code; the first has at most 63 columns. Bit-parallel, all rows at once."""
+    bits = np.uint64(1) << np.arange(wanted.shape[1], dtype=np.uint64)
+    full = np.where(wanted >= 0, bits, np.uint64(0)).sum(1, dtype=np.uint64)
+    v = full.copy()
+    for j in range(text.shape[1]):
+        m = np.where((wanted == text[:, j : j + 1]) & (wanted >= 0), bits, np.uint64(0)).sum(1, dtype=np.uint64)
+        u = v & m
+        v = ((v + u) | (v - u)) & full
+    return np.bitwise_count(full).astype(np.int64) - np.bitwise_count(v)
